@@ -14,11 +14,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BITS = 15
 UND = "und"
@@ -39,7 +39,7 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages, sorted, and the log-probabilities (buckets x languages) of their n-grams."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
@@ -85,16 +85,18 @@ def mixture(at: np.ndarray, n: np.ndarray, logp: np.ndarray, penalty: float = 3.
     return dict(zip(chosen, shares.tolist()))
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: its id, ``lang_pred``, ``score`` (that language's share) and ``languages``, a map
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Per document: its id, or the columns of ``keep``, ``lang_pred``, ``score`` (that language's share) and ``languages``, a map
     of the selected languages to their shares."""
     langs, logp = model
     shared = docs.sparkSession.sparkContext.broadcast(logp)  # 2**BITS rows, a column a language
+    kept = docs.select(*(keep or [id_col]))
+    n_kept = len(kept.columns)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores, shares = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(n_kept):
                 text = text.as_py() or ""
                 mix = mixture(*grams(text), shared.value) if langs and _LETTER.search(text) else {}
                 top = max(mix, key=lambda k: (mix[k], -k), default=None)
@@ -102,9 +104,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                 scores.append(0.0 if top is None else min(1.0, mix[top]))
                 shares.append([(langs[k], v) for k, v in mix.items()])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))],
-                [id_col, "lang_pred", "score", "languages"],
+                [*batch.columns[:n_kept], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))],
+                [*kept.columns, "lang_pred", "score", "languages"],
             )
 
-    key = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(predicted, f"{id_col} {key}, lang_pred string, score double, languages map<string,double>")
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.MapType(T.StringType(), T.DoubleType()))]
+    return docs.select(*kept.columns, F.col(text_col).alias("_text")).mapInArrow(predicted, T.StructType([*kept.schema.fields, *added]))

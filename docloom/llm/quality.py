@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HASHED = 256
 DENSE = 24
@@ -174,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         cuts = np.unique(np.concatenate([gp, gn]))
         cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
         cuts = cuts[np.linspace(0, len(cuts) - 1, min(len(cuts), 2000)).astype(int)]
-        wrong = np.array([(gp < c).mean() + (gn >= c).mean() for c in cuts])
+        wrong = np.array([3 * (gp < c).mean() + (gn >= c).mean() for c in cuts])  # a good text lost is the worse error
         best = cuts[wrong <= wrong.min() + 1e-9]
         low = float(best[len(best) // 2])
     net.slope = 4 / (np.quantile(gp, 0.5) - low + 1e-6) if np.quantile(gp, 0.5) > low else 1.0
@@ -182,15 +183,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return net
 
 
-def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: its id and ``score``, the likeliness of label 1."""
+def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Per document: its id, or the columns of ``keep``, and ``score``, the likeliness of label 1."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
+    kept = docs.select(*(keep or [id_col]))
+    n_kept = len(kept.columns)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            x = np.array([features(text.as_py()) for text in batch.column(1)], float).reshape(n, WIDTH)
+            x = np.array([features(text.as_py()) for text in batch.column(n_kept)], float).reshape(n, WIDTH)
             s = shared.value.score(x) if shared.value is not None and n else np.full(n, 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], [id_col, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], pa.array(s, pa.float64())], [*kept.columns, "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(scored, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, score double")
+    return docs.select(*kept.columns, F.col(text_col).alias("_text")).mapInArrow(scored, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
