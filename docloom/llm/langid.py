@@ -91,7 +91,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     langs, logp = model
     shared = docs.sparkSession.sparkContext.broadcast(logp)  # 2**BITS rows, a column a language
     kept = docs.select(*(keep or [id_col]))
-    n_kept = len(kept.columns)
+    kept_names, n_kept = kept.columns, len(kept.columns)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +105,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                 shares.append([(langs[k], v) for k, v in mix.items()])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:n_kept], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))],
-                [*kept.columns, "lang_pred", "score", "languages"],
+                [*kept_names, "lang_pred", "score", "languages"],
             )
 
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.MapType(T.StringType(), T.DoubleType()))]

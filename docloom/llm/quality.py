@@ -187,13 +187,13 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
     """Per document: its id, or the columns of ``keep``, and ``score``, the likeliness of label 1."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
     kept = docs.select(*(keep or [id_col]))
-    n_kept = len(kept.columns)
+    kept_names, n_kept = kept.columns, len(kept.columns)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             x = np.array([features(text.as_py()) for text in batch.column(n_kept)], float).reshape(n, WIDTH)
             s = shared.value.score(x) if shared.value is not None and n else np.full(n, 0.5)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], pa.array(s, pa.float64())], [*kept.columns, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], pa.array(s, pa.float64())], [*kept_names, "score"])
 
     return docs.select(*kept.columns, F.col(text_col).alias("_text")).mapInArrow(scored, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
