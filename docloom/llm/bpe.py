@@ -33,12 +33,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def literal_ranks(ranks: dict[bytes, int], n_buckets: int = 16384) -> Column:
-    """The rank map as one literal: an array of small maps, by XXH64 of the token's bytes, since
-    Spark looks through the keys of a map one after another."""
+    """The rank map as one literal: an array of small maps, by XXH64 of the token's bytes in
+    hexadecimal, since Spark looks through the keys of a map one after another."""
     buckets: list[dict[str, int]] = [{} for _ in range(n_buckets)]
     for token, rank in ranks.items():
-        h = xxhash.xxh64_intdigest(token, 42)
-        buckets[(h - (h >> 63 << 64)) % n_buckets][token.hex().upper()] = rank
+        piece = token.hex()
+        buckets[xxhash.xxh64_intdigest(piece.encode(), 42) & (n_buckets - 1)][piece] = rank
     return F.from_json(_in_row(json.dumps(buckets)), "array<map<string,int>>")
 
 
@@ -46,7 +46,7 @@ def literal_pieces(ranks: dict[bytes, int]) -> Column:
     """Hexadecimal bytes of each id, by position."""
     pieces = [""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
-        pieces[rank] = token.hex().upper()
+        pieces[rank] = token.hex()
     return F.from_json(_in_row(json.dumps(pieces)), "array<string>")
 
 
@@ -57,53 +57,48 @@ def _in_row(text: str) -> Column:
 
 
 def rank_of(table: Column, piece: Column, n_buckets: int = 16384) -> Column:
-    """Rank of a piece (binary), or NO_RANK."""
-    found = table[F.pmod(F.xxhash64(piece), F.lit(n_buckets)).cast("int")][F.hex(piece)]
-    return F.coalesce(found, F.lit(NO_RANK))
+    """Rank of a piece, given by its bytes in hexadecimal, or NO_RANK."""
+    return F.coalesce(table[F.xxhash64(piece).bitwiseAND(F.lit(n_buckets - 1)).cast("int")][piece], F.lit(NO_RANK))
 
 
 def encode_word(word: Column, table: Column) -> Column:
-    """Ids of one pre-token (binary): a fold that joins the leftmost pair of the lowest rank until
-    no adjacent pair has a rank. State: the pieces, and the rank of each piece with its successor."""
-    n = F.length(word)
-
-    def ranks_of(pieces: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.size(pieces) - 2),
-            lambda i: rank_of(table, F.concat(pieces[i], pieces[i + 1])),
+    """Ids of one pre-token (its bytes in hexadecimal): a fold that joins the leftmost pair of the
+    lowest rank until no adjacent pair has a rank.
+
+    State: the pieces, the rank of each piece with its successor, and the place of the next merge.
+    Steps take turns: one finds the place, one merges there; so no step names a value twice, for
+    which Spark would evaluate it again or, bound by a lambda, copy it.
+    """
+    n = F.length(word) / 2
+    no_ints = F.array().cast("array<int>")
+
+    def step(state: Column, turn: Column) -> Column:
+        pieces, ranks, at = state["pieces"], state["ranks"], state["at"]
+        place = F.when(F.array_min(ranks) < NO_RANK, F.array_position(ranks, F.array_min(ranks)).cast("int")).otherwise(F.lit(0))
+        found = F.struct(pieces.alias("pieces"), ranks.alias("ranks"), place.alias("at"))
+        mid = F.concat(pieces[at - 1], pieces[at])
+        left = F.when(at > 1, F.array(rank_of(table, F.concat(pieces[at - 2], mid)))).otherwise(no_ints)
+        right = F.when(at < F.size(ranks), F.array(rank_of(table, F.concat(mid, pieces[at + 1])))).otherwise(no_ints)
+        merged = F.struct(
+            F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(mid), F.slice(pieces, at + 2, F.size(pieces))).alias("pieces"),
+            F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, F.size(ranks))).alias("ranks"),
+            at.alias("at"),
         )
+        return F.when(turn.bitwiseAND(F.lit(1)) == 1, found).when(at > 0, merged).otherwise(state)
 
-    def step(state: Column, _: Column) -> Column:
-        pieces, ranks = state["pieces"], state["ranks"]
-
-        def joined(at: Column, mid: Column) -> Column:
-            """at: 1-based place of the pair; mid: the joined piece."""
-            left = F.when(at > 1, F.array(rank_of(table, F.concat(pieces[at - 2], mid)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(at < F.size(ranks), F.array(rank_of(table, F.concat(mid, pieces[at + 1])))).otherwise(F.array().cast("array<int>"))
-            return F.struct(
-                F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(mid), F.slice(pieces, at + 2, F.size(pieces))).alias("pieces"),
-                F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, F.size(ranks))).alias("ranks"),
-            )
-
-        best = F.array_min(ranks)
-        merge = F.transform(
-            F.array(F.array_position(ranks, best).cast("int")),
-            lambda at: F.transform(F.array(F.concat(pieces[at - 1], pieces[at])), lambda mid: joined(at, mid))[0],
-        )[0]
-        return F.when(best < NO_RANK, merge).otherwise(state)
-
-    bytes_ = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
-    start = F.transform(F.array(bytes_), lambda p: F.struct(p.alias("pieces"), ranks_of(p).alias("ranks")))[0]
-    folded = F.aggregate(F.sequence(F.lit(1), n - 1), start, step, lambda s: F.transform(s["pieces"], lambda p: rank_of(table, p)))
+    pieces = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.substring(word, 2 * i - 1, F.lit(2)))
+    ranks = F.transform(F.sequence(F.lit(1), n.cast("int") - 1), lambda i: rank_of(table, F.substring(word, 2 * i - 1, F.lit(4))))
+    start = F.struct(pieces.alias("pieces"), ranks.alias("ranks"), F.lit(0).alias("at"))
+    folded = F.aggregate(F.sequence(F.lit(1), 2 * (n.cast("int") - 1)), start, step, lambda s: F.transform(s["pieces"], lambda p: rank_of(table, p)))
     whole = rank_of(table, word)
-    return F.when(whole < NO_RANK, F.array(whole)).when(n < 2, F.array(whole)).otherwise(folded)
+    return F.when(whole < NO_RANK, F.array(whole)).otherwise(folded)
 
 
 def word_blocks(docs: DataFrame, id_col: str, text_col: str, pattern: str, block_bytes: int) -> DataFrame:
     """Blocks of documents: the distinct pre-tokens of a block and each document's words as places
     among them. A block ends once its texts reach ``block_bytes``."""
     key = docs.schema[id_col].dataType.simpleString()
-    schema = f"docs array<struct<id:{key},at:array<int>>>, words array<binary>"
+    schema = f"docs array<struct<id:{key},at:array<int>>>, words array<string>"
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = regex.compile(pattern).findall
@@ -119,7 +114,7 @@ def word_blocks(docs: DataFrame, id_col: str, text_col: str, pattern: str, block
         def block() -> pa.RecordBatch:
             inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))
             rows = pa.StructArray.from_arrays([pa.array(ids, id_type), inner], ["id", "at"])
-            words = pa.array([w.encode() for w in places], pa.binary())
+            words = pa.array([w.encode().hex() for w in places], pa.string())
             return pa.RecordBatch.from_arrays(
                 [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), rows), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)],
                 ["docs", "words"],
