@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import least_hashed, stored
 from .covertree import usable
 
 LEAF = 64
@@ -146,7 +146,7 @@ def _nearest(rows: DataFrame, d: int, norm2: float, n: int, k: int, dims: int, c
         added = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, norm2 - (x * x).sum(1)))
         return x @ w[:d] + added[:, None] * w[d]
 
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()  # bounded: the splits of the upper levels
+    drawn = least_hashed(rows, "id", sample, n).select("v").collect()  # bounded: the splits of the upper levels
     boxes = 1 << max(0, min(MAX_BOXES, max(1, n // BOX_ROWS)).bit_length() - 1)
     nodes = spark.sparkContext.broadcast(upper_tree(project(np.array([r["v"] for r in drawn]), False), boxes))
 

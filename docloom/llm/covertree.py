@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_parts, stored
+from .common import least_hashed, n_parts, stored
 from .components import components
 
 SLACK = 1e-6  # rounding of distances is far below it; what lies within is verified
@@ -214,7 +214,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     points = stored(good.groupBy("v").agg(F.min("_id").cast("long").alias("node"), F.count("*").alias("copies")), "points")
     n = points.count()
     pivots: dict[int, list[np.ndarray]] = {}
-    for r in points.orderBy(F.xxhash64("node"), "node").limit(sample).collect():
+    for r in least_hashed(points, "node", sample, n).collect():
         pivots.setdefault(len(r["v"]), []).append(np.array(r["v"]))
     wanted = max(1, min(256, n // (2 * block_rows)))
     chosen = {d: unit(np.array(v))[: max(1, wanted * len(v) // max(1, sum(map(len, pivots.values()))))] for d, v in pivots.items()}

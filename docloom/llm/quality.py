@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import least_hashed
+
 HASHED = 256
 DENSE = 24
 WIDTH = DENSE + HASHED
@@ -145,10 +147,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     key = docs.schema[id_col].dataType.simpleString()
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast(key).alias(id_col)).agg(F.max(label_col).alias("mark"))
     ids = rows.select(F.col(id_col).alias("id")).join(marks, F.col("id") == F.col(id_col), "left").select("id", "mark")
-    order = [F.xxhash64("id"), F.col("id")]
-    kinds = ids.where("mark = 1").orderBy(*order).limit(sample).select("id", F.lit(1).alias("kind"))
-    kinds = kinds.unionAll(ids.where("mark = 0").orderBy(*order).limit(sample // 4).select("id", F.lit(0).alias("kind")))
-    kinds = kinds.unionAll(ids.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(sample).select("id", F.lit(-1).alias("kind")))
+    sizes = ids.agg(F.count("*").alias("all"), F.count_if(F.col("mark") == 1).alias("good"), F.count_if(F.col("mark") == 0).alias("bad")).first()
+    parts = [(1, "mark = 1", sample, sizes["good"]), (0, "mark = 0", sample // 4, sizes["bad"]), (-1, "true", sample, sizes["all"])]
+    chosen = [least_hashed(ids.where(which), "id", n, rows_, salt=int(kind < 0)).select("id", F.lit(kind).alias("kind")) for kind, which, n, rows_ in parts]
+    kinds = chosen[0].unionAll(chosen[1]).unionAll(chosen[2])
     wanted = {}
     for r in kinds.collect():  # at most 2.25 x sample ids
         wanted.setdefault(r["id"], []).append(r["kind"])
