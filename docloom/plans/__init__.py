@@ -1,9 +1,13 @@
 """Queries of the document-collection operators, by name, and their SQL."""
 
+from . import catalog_queries, content_queries, stream_queries
 
-def queries():
-    return {}
+_MODULES = (catalog_queries, content_queries, stream_queries)
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict:
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
