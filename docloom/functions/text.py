@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Names that Windows reserves for devices. Fixed values.
 RESERVED = r"(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\..*)?$"
@@ -31,7 +32,7 @@ def sanitize_ascii(column: Column) -> Column:
     return F.regexp_replace(F.substring(out, 1, MAX_SEGMENT), r"[. ]+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sanitize_segment(names: pd.Series) -> pd.Series:
     """A path segment of any text: compatibility forms are unified first, the length counts UTF-16 units."""
 

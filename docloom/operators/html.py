@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def links(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -110,7 +111,7 @@ def markdown(html: str | None) -> str:
     return "\n".join(kept).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def to_markdown(html: pd.Series) -> pd.Series:
     """Markdown of a page; null and empty pages give an empty text."""
     return html.map(markdown)

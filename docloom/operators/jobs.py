@@ -47,11 +47,11 @@ def next_runnable(rows: DataFrame, idx: str, pending: Column, cursor: Column, ke
     return rows.where(pending).groupBy(*keys).agg(F.min(F.struct((F.col(idx) < cursor).alias("wrapped"), F.col(idx).alias("idx"))).alias("m")).select(*keys, F.col("m.idx").alias("next_idx"))
 
 
-def throttled(rows: DataFrame, key: str, time_ms: Column, value: str, order: list[str], gap_ms: int = 500) -> DataFrame:
-    """Progress reports without those that repeat the value before within ``gap_ms``."""
+def throttled(rows: DataFrame, key: str, time: Column, value: str, order: list[str], gap: int = 500) -> DataFrame:
+    """Progress reports without those that repeat the value before within ``gap``."""
     w = Window.partitionBy(key).orderBy(*order)
     same = F.lag(value).over(w) == F.col(value)
-    return rows.withColumn("repeated", same & (time_ms - F.lag(time_ms).over(w) < gap_ms)).where(~F.coalesce("repeated", F.lit(False))).drop("repeated")
+    return rows.withColumn("repeated", same & (time - F.lag(time).over(w) < gap)).where(~F.coalesce("repeated", F.lit(False))).drop("repeated")
 
 
 def backoff(outcomes: Column, factor: float = 2.0, most: float = 10.0) -> Column:

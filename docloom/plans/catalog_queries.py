@@ -194,11 +194,11 @@ def interrupt_machine(spark, d):
     return jobs.interruptions(t(spark, d, "events"), "user_id", F.expr(_EVENT), ["ts", "event_id"]).select("event_id", "hard_interrupts", "state")
 
 
-@query("""WITH e AS (SELECT *, lag(event_type) OVER w AS p, epoch_ms(ts) - epoch_ms(lag(ts) OVER w) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT event_id, user_id FROM e WHERE NOT coalesce(p = event_type AND gap < 3600000, false)""")
+@query("""WITH e AS (SELECT *, lag(event_type) OVER w AS p, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, user_id FROM e WHERE NOT coalesce(p = event_type AND gap < 3600000000, false)""")
 def progress_throttled(spark, d):
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    return jobs.throttled(t(spark, d, "events"), "user_id", ms, "event_type", ["ts", "event_id"], 3_600_000).select("event_id", "user_id")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    return jobs.throttled(t(spark, d, "events"), "user_id", us, "event_type", ["ts", "event_id"], 3_600_000_000).select("event_id", "user_id")
 
 
 @query("""WITH l AS (SELECT o_custkey, list(o_orderstatus = 'P' ORDER BY o_orderkey) AS hits FROM orders GROUP BY o_custkey)

@@ -188,17 +188,17 @@ def arc_length(spark, d):
     return geometry.arc_lengths(t(spark, d, "events"), "user_id", secs, F.lit(0.0), ["ts", "event_id"]).groupBy("user_id").agg(F.round(F.sum("step")).cast("long").alias("length"))
 
 
-@query("""WITH e AS (SELECT event_id, user_id, CASE WHEN epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 43200000 THEN 1 ELSE 0 END AS new, ts FROM events)
+@query("""WITH e AS (SELECT event_id, user_id, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 43200000000 THEN 1 ELSE 0 END AS new, ts FROM events)
 SELECT event_id, user_id, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster FROM e""")
 def gap_cluster(spark, d):
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    return geometry.gap_clusters(t(spark, d, "events"), "user_id", ms, ["ts", "event_id"], 43_200_000).select("event_id", "user_id", "cluster")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    return geometry.gap_clusters(t(spark, d, "events"), "user_id", us, ["ts", "event_id"], 43_200_000_000).select("event_id", "user_id", "cluster")
 
 
-@query("SELECT user_id, max(gap) AS widest FROM (SELECT user_id, epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) GROUP BY user_id")
+@query("SELECT user_id, max(gap) AS widest FROM (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) GROUP BY user_id")
 def largest_gap(spark, d):
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    gap = ms - F.lag(ms).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = us - F.lag(us).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return t(spark, d, "events").select("user_id", gap.alias("gap")).groupBy("user_id").agg(F.max("gap").alias("widest"))
 
 
