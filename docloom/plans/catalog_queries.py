@@ -142,7 +142,7 @@ _STATUS = "CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'failed' ELS
 
 
 @query(f"""WITH o AS (SELECT {_STATUS} AS status, CAST(round(o_totalprice * 100) AS BIGINT) AS ms, o_orderpriority FROM orders)
-SELECT o_orderpriority, count(*) AS total, count_if(status = 'success') AS success, count_if(status = 'failed') AS failed, count_if(status = 'pending') AS pending,
+SELECT o_orderpriority, count(*) AS total, CAST(count_if(status = 'success') AS BIGINT) AS success, CAST(count_if(status = 'failed') AS BIGINT) AS failed, CAST(count_if(status = 'pending') AS BIGINT) AS pending,
 CAST(coalesce(sum(ms) FILTER (status = 'success'), 0) AS BIGINT) AS sum_duration, CAST(coalesce(floor(sum(ms) FILTER (status = 'success') / nullif(count_if(status = 'success'), 0) + 0.5), 0) AS BIGINT) AS avg_duration,
 CAST(floor(count_if(status = 'success') * 100 / count(*) + 0.5) AS BIGINT) AS percent FROM o GROUP BY o_orderpriority""")
 def job_summary(spark, d):
