@@ -41,9 +41,12 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def build(x: np.ndarray) -> dict[str, np.ndarray]:
+def build(x: np.ndarray, top: float = 2.0) -> dict[str, np.ndarray]:
     """Cover tree over unit vectors: ``order`` of points, and per node its points lo..hi in that
-    order, its centre (a point; also the centre of its first child), covering radius and children."""
+    order, its centre (a point; also the centre of its first child), covering radius and children.
+
+    The levels below the root start at the largest radius 2**-k of at most ``top``: wider nodes of
+    vectors in many dimensions reach all others, so that splitting them one by one prunes nothing."""
     n = len(x)
     order = np.arange(n)
     lo, hi, centre, radius, child, children = [0], [n], [0], [0.0], [0], [0]
@@ -56,7 +59,7 @@ def build(x: np.ndarray) -> dict[str, np.ndarray]:
         if len(points) <= LEAF and radius[k] < 1 or radius[k] <= SLACK or len(points) == 1:
             continue
         r = 2.0
-        while r >= radius[k]:
+        while r >= radius[k] or r > top:
             r /= 2
         child[k], at, left = len(lo), lo[k], np.arange(len(points))
         own, groups = d, []
@@ -167,12 +170,12 @@ def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _block(rows: pa.Table) -> pa.Table:
+def _block(rows: pa.Table, top: float) -> pa.Table:
     """One row for a block: its points and its tree."""
     rows = rows.sort_by("node")
     x = np.array(rows.column("v").to_pylist(), float)
     u = unit(x)
-    t = build(u)
+    t = build(u, top)
     data = {"ids": rows.column("node").to_numpy(), "w": rows.column("copies").to_numpy().astype(float), "u": u.ravel(), **t}
     cells = {k: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for k, v in data.items()}
     root = {"root": pa.array([u[t["centre"][0]].tolist()], pa.list_(pa.float64())), "reach": pa.array([float(t["radius"][0])])}
@@ -208,7 +211,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Reco
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 2048, sample: int = 4096) -> DataFrame:
     """Per vector: its id, ``n_links`` (other vectors at ``cosine`` or more) and ``component_id``
     (smallest id reachable). ``sample``: vectors among which the pivots are chosen."""
-    spark = vectors.sparkSession
+    spark, eps = vectors.sparkSession, float(np.sqrt(2 - 2 * cosine))
     rows = vectors.select(F.col(id_col).alias("_id"), F.col(vector_col).cast("array<double>").alias("v"))
     good = rows.where(usable(F.col("v")) & F.col("_id").isNotNull())
     points = stored(good.groupBy("v").agg(F.min("_id").cast("long").alias("node"), F.count("*").alias("copies")), "points")
@@ -235,12 +238,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     cells = stored(points.select("v", "node", "copies").mapInArrow(celled, "v array<double>, node long, copies long, cell long"), "cells")
     salts = F.broadcast(cells.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("salts")))  # 256 cells a length at most
     salted = cells.join(salts, "cell").withColumn("block", F.col("cell") * F.lit(1 << 32) + F.pmod(F.xxhash64("node"), F.col("salts")))
-    blocks = stored(salted.select("block", "node", "copies", "v").groupBy("block").applyInArrow(_block, _BLOCK), "blocks")
+    blocks = stored(salted.select("block", "node", "copies", "v").groupBy("block").applyInArrow(lambda rows: _block(rows, eps / 2), _BLOCK), "blocks")
     ends = blocks.select("block", "dim", "root", "reach")
     a, b = ends.select(*(F.col(c).alias(f"a_{c}") for c in ends.columns)), ends.select(*(F.col(c).alias(f"b_{c}") for c in ends.columns))
     dot = F.aggregate(F.zip_with("a_root", "b_root", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     gap = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot))
-    eps = float(np.sqrt(2 - 2 * cosine))
     deal = n_parts(spark)  # a block meets the later ones of its length in as many tasks as there are
     a = a.withColumn("a_deal", F.pmod(F.xxhash64("a_block"), F.lit(deal)))
     b = b.withColumn("b_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deal - 1).cast("long"))))
