@@ -54,6 +54,7 @@ class _Markdown(HTMLParser):
         elif tag in self.MARKS:
             self.out.append(self.MARKS[tag])
         elif tag in ("ul", "ol"):
+            self.out.append("" if self.lists else "\n")
             self.lists.append([tag, 0])
         elif tag == "li" and self.lists:
             self.lists[-1][1] += 1
