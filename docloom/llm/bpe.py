@@ -2,8 +2,8 @@
 
 The work is dealt over documents only; nothing is shuffled. Tasks gather documents into blocks of
 bounded size and find each block's distinct pre-tokens; Spark higher-order functions then fold the
-ranked merges over the byte arrays of those distinct words, once a word and block, look each
-document's words up by position and decode the ids by concatenating binary pieces.
+ranked merges over the byte arrays of those distinct words, once a word and block, and decode the
+ids by concatenating binary pieces; a document is put together from its words by position.
 
 Defined results: null and empty texts have no ids (0 tokens, digests of nothing); a text longer
 than a block is a block of its own; other columns of the input are kept out of the work; repeated
@@ -137,41 +137,59 @@ def word_blocks(docs: DataFrame, id_col: str, text_col: str, pattern: str, block
     return docs.select(id_col, text_col).mapInArrow(blocks, schema)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 12_000_000) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32_000_000) -> DataFrame:
     """One row per document: its id, ``ids`` array<int> and ``decoded`` binary."""
-    return _per_doc(docs, ranks, pattern, id_col, text_col, block_bytes, lambda ids, decoded: (ids.alias("ids"), decoded.alias("decoded")))
+    return _per_doc(docs, ranks, pattern, id_col, text_col, block_bytes, lambda ids: ids, lambda parts, decoded: F.struct(F.flatten(parts).alias("ids"), decoded.alias("decoded")))
 
 
-def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 12_000_000) -> DataFrame:
+def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32_000_000) -> DataFrame:
     """One row per document: its id, ``n_tokens``, and SHA-256 of the ids' text and of the decoded bytes."""
-    return _per_doc(
-        docs, ranks, pattern, id_col, text_col, block_bytes,
-        lambda ids, decoded: (
-            F.size(ids).cast("long").alias("n_tokens"),
-            F.sha2(F.array_join(ids.cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-            F.sha2(decoded, 256).alias("decoded_sha256"),
-        ),
-    )
+
+    def result(parts: Column, decoded: Column) -> Column:
+        return _bound(
+            F.array_join(parts, " "),
+            lambda text: F.struct(
+                F.when(text == "", F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_tokens"),
+                F.sha2(text.cast("binary"), 256).alias("ids_sha256"),
+                F.sha2(decoded, 256).alias("decoded_sha256"),
+            ),
+        )
+
+    return _per_doc(docs, ranks, pattern, id_col, text_col, block_bytes, lambda ids: F.array_join(ids.cast("array<string>"), " "), result)
+
+
+def _bound(value: Column, f) -> Column:
+    """``f`` of a value that is evaluated once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
 
 
-def _per_doc(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str, text_col: str, block_bytes: int, result) -> DataFrame:
+def _per_doc(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str, text_col: str, block_bytes: int, of_ids, of_doc) -> DataFrame:
+    """``of_ids`` gives what a document needs of a word's ids, ``of_doc`` a struct from those of its
+    words and its decoded bytes. Ids are worked on once a distinct word, not once an occurrence."""
     table, pieces = literal_ranks(ranks), literal_pieces(ranks)
     blocks = word_blocks(docs, id_col, text_col, pattern, block_bytes)
 
-    def of_doc(doc: Column, encoded: Column, pieces: Column) -> Column:
-        ids = F.flatten(F.transform(doc["at"], lambda i: encoded[i]))
-        return F.transform(F.array(ids), lambda x: F.struct(doc["id"].alias(id_col), *result(x, decode(x, pieces))))[0]
+    def rows_of(words: Column) -> Column:
+        def row(doc: Column) -> Column:
+            parts = F.transform(doc["at"], lambda i: words["parts"][i])
+            decoded = F.unhex(F.array_join(F.transform(doc["at"], lambda i: words["spelled"][i]), ""))
+            return F.struct(doc["id"].alias("id"), of_doc(parts, decoded).alias("result"))
+
+        return F.transform("docs", row)
+
+    def of_words(encoded: Column, pieces: Column) -> Column:
+        return F.struct(F.transform(encoded, of_ids).alias("parts"), F.transform(encoded, lambda ids: spelled(ids, pieces)).alias("spelled"))
+
+    encoded = _bound(table, lambda v: F.transform("words", lambda w: encode_word(w, v)))
+    words = _bound(F.struct(encoded.alias("encoded"), pieces.alias("pieces")), lambda v: of_words(v["encoded"], v["pieces"]))
+    return blocks.select(F.explode(_bound(words, rows_of)).alias("row")).select(F.col("row.id").alias(id_col), "row.result.*")
+
 
-    rows = F.transform(
-        F.array(F.struct(table.alias("ranks"), pieces.alias("pieces"))),
-        lambda v: F.transform(
-            F.array(F.transform("words", lambda w: encode_word(w, v["ranks"]))),
-            lambda encoded: F.transform("docs", lambda d: of_doc(d, encoded, v["pieces"])),
-        )[0],
-    )[0]
-    return blocks.select(F.explode(rows).alias("row")).select("row.*")
+def spelled(ids: Column, pieces: Column) -> Column:
+    """The bytes that ``ids`` stand for, in hexadecimal: their pieces, concatenated."""
+    return F.array_join(F.transform(ids, lambda i: pieces[i]), "")
 
 
 def decode(ids: Column, pieces: Column) -> Column:
-    """The bytes that ``ids`` stand for: their binary pieces, concatenated."""
-    return F.unhex(F.array_join(F.transform(ids, lambda i: pieces[i]), ""))
+    """The bytes that ``ids`` stand for."""
+    return F.unhex(spelled(ids, pieces))
