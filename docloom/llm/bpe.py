@@ -74,8 +74,7 @@ def encode_word(word: Column, table: Column) -> Column:
 
     def step(state: Column, turn: Column) -> Column:
         pieces, ranks, at = state["pieces"], state["ranks"], state["at"]
-        place = F.when(F.array_min(ranks) < NO_RANK, F.array_position(ranks, F.array_min(ranks)).cast("int")).otherwise(F.lit(0))
-        found = F.struct(pieces.alias("pieces"), ranks.alias("ranks"), place.alias("at"))
+        found = F.struct(pieces.alias("pieces"), ranks.alias("ranks"), F.array_position(ranks, F.array_min(ranks)).cast("int").alias("at"))
         mid = F.concat(pieces[at - 1], pieces[at])
         left = F.when(at > 1, F.array(rank_of(table, F.concat(pieces[at - 2], mid)))).otherwise(no_ints)
         right = F.when(at < F.size(ranks), F.array(rank_of(table, F.concat(mid, pieces[at + 1])))).otherwise(no_ints)
@@ -84,7 +83,7 @@ def encode_word(word: Column, table: Column) -> Column:
             F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, F.size(ranks))).alias("ranks"),
             at.alias("at"),
         )
-        return F.when(turn.bitwiseAND(F.lit(1)) == 1, found).when(at > 0, merged).otherwise(state)
+        return F.when(turn.bitwiseAND(F.lit(1)) == 1, found).when(ranks[at - 1] < NO_RANK, merged).otherwise(state)
 
     pieces = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.substring(word, 2 * i - 1, F.lit(2)))
     ranks = F.transform(F.sequence(F.lit(1), n.cast("int") - 1), lambda i: rank_of(table, F.substring(word, 2 * i - 1, F.lit(4))))
