@@ -6,7 +6,8 @@ ranked merges over the byte arrays of those distinct words, once a word and bloc
 ids by concatenating binary pieces; a document is put together from its words by position.
 
 Defined results: null and empty texts have no ids (0 tokens, digests of nothing); a text longer
-than a block is a block of its own; other columns of the input are kept out of the work; repeated
+than a block is a block of its own; the fold of one pre-token grows with the square of its length
+(letters or blanks without a break), so that one of 50,000 bytes takes minutes; other columns of the input are kept out of the work; repeated
 rows give repeated results.
 """
 
