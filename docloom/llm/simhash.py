@@ -29,19 +29,25 @@ from .common import n_parts, stored
 from .components import components
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """Signed 64-bit fingerprint: a bit is 1 if set in over half of the shingles' hashes."""
+def shingle_hashes(text: str | None, width: int, seed: int = 42) -> list[int]:
+    """Hashes of the shingles of ``width`` words, A-Z lower-cased, split at ASCII white space."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return []
+    joined = b" ".join(words)
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), seed)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = [0, *ends[: -width].tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())]
+        return [xxhash.xxh64_intdigest(joined, seed)]
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *ends[: -width].tolist()]
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], seed) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())]
+
+
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """Signed 64-bit fingerprint: a bit is 1 if set in over half of the shingles' hashes."""
+    hashes = shingle_hashes(text, width, seed)
+    if not hashes:
+        return 0
     h = np.array(hashes, "<u8")
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 8192):  # bounded memory for very long texts
