@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, covertree, langid, lm, packing, quality, simhash, token_counts, warc
+from . import ann, bpe, covertree, langid, lm, packing, quality, similar, simhash, token_counts, warc
 from .common import bucket_of, shared_dir, stored, table
 
 #: A word: anything between ASCII white space.
@@ -80,9 +80,15 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """Bins of 2,048 tokens (words and an end); a bin holds no source and no text twice."""
+    """Bins of 2,048 tokens (words and an end); a bin holds no source twice and no two texts of one
+    group of near copies (5-word Jaccard similarity of 0.8 or more, also by chains)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return packing.pack(docs, F.regexp_count(text, F.lit(WORD)) + 1, F.col("source"), F.md5(text.cast("binary")), capacity=2048)
+    length = F.regexp_count(text, F.lit(WORD)) + 1
+    # the row stands for its id, so that rows without an id and rows of one id have groups of their own
+    row = F.struct("doc_id", length.alias("length"), F.col("source").cast("string").alias("source"), F.md5(text.cast("binary")).alias("copy"))
+    found = similar.groups(docs.select(row.alias("row"), "text"), least=0.8, width=5, id_col="row")
+    rows = found.select("row.doc_id", "row.length", "row.source", F.col("component_id.copy").alias("cluster"))
+    return packing.pack(rows, F.col("length"), F.col("source"), F.col("cluster"), capacity=2048)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
