@@ -7,8 +7,8 @@ bound. The neural model predicts one of ``vocab`` frequent words, the end, or on
 of classes of rarer words (by ending) from the two tokens before; within its class a rarer word has
 its smoothed relative frequency, so the probabilities of all texts are normalised.
 
-Training is noise-contrastive: each task samples positions from all of its texts, trains a copy in
-numpy and the copies are averaged by Spark, for a few rounds. Scoring computes all normalisers at
+Training is noise-contrastive: each round, each task visits every position of all of its texts, a
+bounded block at a time, trains a copy in numpy and the copies are averaged by Spark. Scoring computes all normalisers at
 once as a product of matrices: exp(A[u, w] + B[v, w] + b[w]) summed over w is exp(A) @ exp(B + b).T.
 
 Defined results: null and blank texts are one end token; with no training text N = V = 0 and both
@@ -33,6 +33,7 @@ from .common import stored
 END = b""  # no word is empty
 CLASSES = 256
 SMOOTH = 0.1
+BLOCK = 1 << 18  # tokens that a task holds at once in training, and one text more
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -112,11 +113,15 @@ def start_params(prior: np.ndarray, dim: int, seed: int = 3) -> dict[str, np.nda
     }
 
 
-def nce_epoch(params: dict[str, np.ndarray], prior: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, rate: float = 0.15, batch: int = 2048, noise: int = 96, seed: int = 0) -> dict[str, np.ndarray]:
+def nce_epoch(params: dict[str, np.ndarray], prior: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, rate: float = 0.15, batch: int = 2048, noise: int = 96, seed: int | list[int] = 0, acc: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
     """One pass of noise-contrastive estimation with Adagrad over contexts (u, v) and words w; each
-    batch shares its noise words, drawn from the unigram distribution."""
+    batch shares its noise words, drawn from the unigram distribution. ``acc``: Adagrad's sums of an
+    earlier block of the same pass, which this one goes on with; it changes them."""
     p = {k: x.astype(np.float32).copy() for k, x in params.items()}
-    acc = {k: np.full_like(x, 1e-2) for k, x in p.items()}
+    if acc is None:
+        acc = {}
+    for k, x in p.items():
+        acc.setdefault(k, np.full_like(x, 1e-2))
     r = np.random.default_rng(seed)
     log_kp = np.log(noise * prior).astype(np.float32)
     order, cumulative = r.permutation(len(w)), np.cumsum(prior)
@@ -171,9 +176,9 @@ def contexts(outputs: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     return padded[:-2], padded[1:-1]
 
 
-def train(docs: DataFrame, counts: DataFrame, text_col: str = "text", vocab: int = 2048, hot: int = 131_072, dim: int = 32, rounds: int = 3, rate: float = 1 / 16) -> Model:
-    """Fits the model to ``docs``, whose stored counts are ``counts``. ``rate``: share of positions,
-    drawn from every text, that the rounds of training visit; counts cover all tokens."""
+def train(docs: DataFrame, counts: DataFrame, text_col: str = "text", vocab: int = 2048, hot: int = 131_072, dim: int = 32, rounds: int = 3, rate: float = 1.0) -> Model:
+    """Fits the model to ``docs``, whose stored counts are ``counts``. ``rate``: share of positions
+    that a round visits, all by default; a smaller share is drawn anew each round and for each row."""
     spark = docs.sparkSession
     top = most_frequent(counts, hot)
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -201,21 +206,22 @@ def train(docs: DataFrame, counts: DataFrame, text_col: str = "text", vocab: int
     outputs = spark.sparkContext.broadcast({w: o for w, (o, _) in known.items()})
     start = len(model.prior)
 
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = np.uint16 if start < 1 << 16 else np.int32
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = outputs.value.get
         for batch in batches:
-            rows = []
+            block: list[int] = []
             for text in batch.column(0):
-                words = [*words_of(text.as_py()), END]
-                r = np.random.default_rng(zlib.crc32(b" ".join(words[:50])) + len(words))
-                at = np.flatnonzero(r.random(len(words)) < rate)
-                for i in at.tolist():
-                    for k in (i - 2, i - 1, i):
-                        rows.append(start if k < 0 else o if (o := get(words[k])) is not None else vocab + class_of(words[k]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([np.array(rows, np.int32).tobytes()], pa.binary())], ["x"])
-
-    chunks = stored(docs.select(text_col).mapInArrow(sampled, "x binary"), "contexts")
+                block += (start, start)
+                block += (o if (o := get(w)) is not None else vocab + class_of(w) for w in (*words_of(text.as_py()), END))
+                if len(block) >= BLOCK:
+                    yield pa.RecordBatch.from_arrays([pa.array([np.array(block, kind).tobytes()], pa.binary())], ["x"])
+                    block = []
+            if block:
+                yield pa.RecordBatch.from_arrays([pa.array([np.array(block, kind).tobytes()], pa.binary())], ["x"])
+
+    chunks = stored(docs.select(text_col).mapInArrow(coded, "x binary"), "contexts")
     size, like = len(pack(model.params)), model.params
     width = math.ceil(size / 64)
     for turn in range(rounds):
@@ -223,15 +229,22 @@ def train(docs: DataFrame, counts: DataFrame, text_col: str = "text", vocab: int
         pace = 0.15 / (1 + turn)
 
         def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = [np.frombuffer(x, np.int32).reshape(-1, 3) for batch in batches for x in batch.column(0).to_pylist()]
-            if not found:
+            params, acc, visited, salt, blocks = unpack(shared.value, like), {}, 0, 0, 0
+            for x in (x for batch in batches for x in batch.column(0)):
+                tokens = np.frombuffer(x.as_py(), kind).astype(np.int32)
+                seed = [turn, blocks, zlib.crc32(tokens.tobytes())]
+                at = np.flatnonzero(tokens != start)  # two starts stand before each text
+                if rate < 1:
+                    at = at[np.random.default_rng([1, *seed]).random(len(at)) < rate]
+                params = nce_epoch(params, model_prior.value, tokens[at - 2], tokens[at - 1], tokens[at], rate=pace, seed=seed, acc=acc)
+                visited, blocks = visited + len(at), blocks + 1
+                salt = salt or int(tokens[:64].sum()) % 64
+            if not visited:
                 return
-            x = np.concatenate(found)
-            flat = pack(nce_epoch(unpack(shared.value, like), model_prior.value, x[:, 0], x[:, 1], x[:, 2], rate=pace, seed=turn))
+            flat = pack(params)
             parts = [flat[k * width : (k + 1) * width] for k in range(64)]
-            salt = int(x[:64].sum()) % 64
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(64), pa.int32()), pa.array([salt] * 64, pa.int32()), pa.array([float(len(x))] * 64), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "salt", "n", "x"]
+                [pa.array(range(64), pa.int32()), pa.array([salt] * 64, pa.int32()), pa.array([float(visited)] * 64), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "salt", "n", "x"]
             )
 
         model_prior = spark.sparkContext.broadcast(model.prior)
