@@ -1,30 +1,41 @@
 """Byte-level byte-pair encoding and decoding (operator 1).
 
-The work is dealt over documents only; nothing is shuffled. Tasks gather documents into blocks of
-bounded size and find each block's distinct pre-tokens; Spark higher-order functions then fold the
-ranked merges over the byte arrays of those distinct words, once a word and block, and decode the
-ids by concatenating binary pieces; a document is put together from its words by position.
-
-Defined results: null and empty texts have no ids (0 tokens, digests of nothing); a text longer
-than a block is a block of its own; the fold of one pre-token grows with the square of its length
-(letters or blanks without a break), so that one of 50,000 bytes takes minutes; other columns of the input are kept out of the work; repeated
-rows give repeated results.
+The work is dealt over documents; only counts of sampled words are shuffled. Tasks gather documents
+into blocks of bounded size and find each block's distinct pre-tokens; Spark higher-order functions
+then fold the ranked merges over the byte arrays of those words, once a word and block, and decode
+the ids by concatenating binary pieces; a document is put together from its words by position.
+
+Words that are frequent in a bounded sample of the documents are encoded once, by the same fold, and
+travel with the tasks (``shared`` words of 64 bytes at most): a memo that saves work and changes no
+result. Words of over ``LONG`` bytes are folded over the merges that can occur in them, in order of
+rank, each merging all its places at once from left to right; that equals merging one place after
+another because a token's rank exceeds those of its parts, which is checked for the rank file.
+
+Defined results: null and empty texts have no ids (0 tokens, digests of nothing); a text longer than
+a block is a block of its own; a word of any length is encoded (one of 50,000 bytes takes seconds);
+other columns of the input are kept out of the work; repeated rows give repeated results; an empty
+table gives no rows; a rank file must hold all 256 bytes.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rank of a pair that no merge joins.
-NO_RANK = 2**31 - 1
+from .common import stored
+
+#: Words of more bytes take the fold over ranked merges.
+LONG = 512
+SHARED_BYTES = 64
+NEVER = 1 << 62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -33,99 +44,194 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
 
 
-def literal_ranks(ranks: dict[bytes, int], n_buckets: int = 16384) -> Column:
-    """The rank map as one literal: an array of small maps, by XXH64 of the token's bytes in
-    hexadecimal, since Spark looks through the keys of a map one after another."""
-    buckets: list[dict[str, int]] = [{} for _ in range(n_buckets)]
-    for token, rank in ranks.items():
-        piece = token.hex()
-        buckets[xxhash.xxh64_intdigest(piece.encode(), 42) & (n_buckets - 1)][piece] = rank
-    return F.from_json(_in_row(json.dumps(buckets)), "array<map<string,int>>")
-
-
-def literal_pieces(ranks: dict[bytes, int]) -> Column:
-    """Hexadecimal bytes of each id, by position."""
-    pieces = [""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        pieces[rank] = token.hex()
-    return F.from_json(_in_row(json.dumps(pieces)), "array<string>")
+class Merges:
+    """The rank map in numbers. A byte b has the number b + 1, a longer token its rank + 257; a pair
+    of numbers is one key, ``left * base + right``. Ranks are kept negative (less ``shift``), so that
+    they differ from numbers; NONE stands where two symbols don't merge.
+
+    Of the ways to split a token only one ever meets: two symbols stand side by side in some text only
+    if they do in the merging of their own bytes, as nothing beyond their ends had a part in making
+    them. So the last merge of a token's own bytes is the only one that gives it."""
+
+    NONE = -1
+
+    def __init__(self, ranks: dict[bytes, int], n_buckets: int = 65_521):
+        self.ranks, self.n_buckets = ranks, n_buckets
+        number = {t: t[0] + 1 if len(t) == 1 else r + 257 for t, r in ranks.items()}
+        most = max(number.values(), default=256)
+        self.base = 1 << (most + 1).bit_length()
+        self.edge = self.base - 1  # a symbol that merges with none
+        self.shift = 4 * self.base
+        self.pairs: dict[int, int] = {}  # the reachable ones
+        self.unmade: dict[bytes, int] = {}  # tokens that merges don't give; as whole words they are taken as they are
+        for token, rank in ranks.items():
+            if len(token) > 1:
+                parts = merged_bytes(token, ranks)
+                if len(parts) == 2:
+                    self.pairs[number[parts[0]] * self.base + number[parts[1]]] = rank
+                else:
+                    self.unmade[token] = rank
+        self.first = [self.NONE] * (257 * 257)  # by two bytes, each plus one; 0 stands after the last
+        for key, rank in self.pairs.items():
+            if key // self.base <= 256 and key % self.base <= 256:
+                self.first[key // self.base * 257 + key % self.base] = rank - self.shift
+        self.text, self.hex = [""] * (most + 1), [""] * (most + 1)  # decimal id and bytes, by number
+        for token, n in number.items():
+            self.text[n], self.hex[n] = str(ranks[token]), token.hex()
+        #: Code point of the symbol with number 0 in the fold over very long words.
+        self.plane = 0x100 if most + 0x100 < 0xD800 else 0x10000
+        self.rising = all(rank + 257 > max(k // self.base, k % self.base) for k, rank in self.pairs.items())
+
+    def literal(self) -> Column:
+        """All tables as one literal, to be parsed once for each block: folded into the plan beforehand, its
+        values would be copied into every task and hashed at every planning step."""
+        buckets: list[tuple[list, list]] = [([], []) for _ in range(self.n_buckets)]
+        for key, rank in self.pairs.items():
+            keys, values = buckets[key % self.n_buckets]
+            keys.append(key)
+            values.append(rank - self.shift)
+        text = json.dumps({"pairs": buckets, "first": self.first, "text": self.text, "hex": self.hex}, separators=(",", ":"))
+        parsed = F.from_json(_in_row(text), "pairs array<array<array<bigint>>>, first array<bigint>, text array<string>, hex array<string>")
+        return _bound(parsed, lambda t: F.struct(F.transform(t["pairs"], lambda b: F.map_from_arrays(b[0], b[1])).alias("pairs"), t["first"].alias("first"), t["text"].alias("text"), t["hex"].alias("hex")))
+
+    def ranked(self) -> Column:
+        """The merges in order of rank: the token's bytes, also as symbols, the pair that makes it and the token's own symbol."""
+        pairs = sorted((rank, key) for key, rank in self.pairs.items())
+        spell = lambda key: "".join(chr(self.plane + b + 1) for b in bytes.fromhex(self.hex[key]))
+        rows = [[spell(rank + 257), self.hex[rank + 257], chr(self.plane + key // self.base) + chr(self.plane + key % self.base), chr(self.plane + rank + 257)] for rank, key in pairs]
+        parsed = F.from_json(_in_row(json.dumps(rows, ensure_ascii=False, separators=(",", ":"))), "array<array<string>>")
+        return F.transform(parsed, lambda m: F.struct(m[0].alias("letters"), F.unhex(m[1]).alias("token"), m[2].alias("pair"), m[3].alias("joined")))
+
+
+def merged_bytes(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The pieces of ``token`` before the merge that would make it whole."""
+    parts = [token[k : k + 1] for k in range(len(token))]
+    while len(parts) > 2:
+        found = [ranks.get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        least = min(found)
+        if least == NEVER:
+            break
+        at = found.index(least)
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
 
 
 def _in_row(text: str) -> Column:
-    """The literal, to be parsed once for each block: folded into the plan beforehand, its tens of
-    thousands of values would be copied into every task and hashed at every planning step."""
     return F.when(F.size("words") >= 0, F.lit(text))
 
 
-def rank_of(table: Column, piece: Column, n_buckets: int = 16384) -> Column:
-    """Rank of a piece, given by its bytes in hexadecimal, or NO_RANK."""
-    return F.coalesce(table[F.xxhash64(piece).bitwiseAND(F.lit(n_buckets - 1)).cast("int")][piece], F.lit(NO_RANK))
+def _bound(value: Column, f) -> Column:
+    """``f`` of a value that is evaluated once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
 
 
-def encode_word(word: Column, table: Column) -> Column:
-    """Ids of one pre-token (its bytes in hexadecimal): a fold that joins the leftmost pair of the
-    lowest rank until no adjacent pair has a rank.
+def encode_word(word: Column, merges: Merges, pairs: Column, first: Column) -> Column:
+    """Numbers of one pre-token (its bytes, each plus one, and a closing 0): a fold that joins the leftmost
+    pair of the lowest rank until no adjacent pair has a rank.
 
-    State: the pieces, the rank of each piece with its successor, and the place of the next merge.
-    Steps take turns: one finds the place, one merges there; so no step names a value twice, for
-    which Spark would evaluate it again or, bound by a lambda, copy it.
+    State: one array of the symbols and, between each two, the rank of their pair, within an edge
+    symbol on either side. The lowest value of the array is the next rank, its place the next merge.
     """
-    n = F.length(word) / 2
-    no_ints = F.array().cast("array<int>")
-
-    def step(state: Column, turn: Column) -> Column:
-        pieces, ranks, at = state["pieces"], state["ranks"], state["at"]
-        found = F.struct(pieces.alias("pieces"), ranks.alias("ranks"), F.array_position(ranks, F.array_min(ranks)).cast("int").alias("at"))
-        mid = F.concat(pieces[at - 1], pieces[at])
-        left = F.when(at > 1, F.array(rank_of(table, F.concat(pieces[at - 2], mid)))).otherwise(no_ints)
-        right = F.when(at < F.size(ranks), F.array(rank_of(table, F.concat(mid, pieces[at + 1])))).otherwise(no_ints)
-        merged = F.struct(
-            F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(mid), F.slice(pieces, at + 2, F.size(pieces))).alias("pieces"),
-            F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, F.size(ranks))).alias("ranks"),
-            at.alias("at"),
-        )
-        return F.when(turn.bitwiseAND(F.lit(1)) == 1, found).when(ranks[at - 1] < NO_RANK, merged).otherwise(state)
+    n = F.size(word) - 1
+    edge, none = F.lit(merges.edge).cast("long"), F.lit(merges.NONE).cast("long")
+
+    def rank_or_self(key: Column) -> Column:
+        found = pairs[(key % merges.n_buckets).cast("int")][key]
+        return F.coalesce(found, F.when(key < merges.base, key).otherwise(none))
 
-    pieces = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.substring(word, 2 * i - 1, F.lit(2)))
-    ranks = F.transform(F.sequence(F.lit(1), n.cast("int") - 1), lambda i: rank_of(table, F.substring(word, 2 * i - 1, F.lit(4))))
-    start = F.struct(pieces.alias("pieces"), ranks.alias("ranks"), F.lit(0).alias("at"))
-    folded = F.aggregate(F.sequence(F.lit(1), 2 * (n.cast("int") - 1)), start, step, lambda s: F.transform(s["pieces"], lambda p: rank_of(table, p)))
-    whole = rank_of(table, word)
-    return F.when(whole < NO_RANK, F.array(whole)).otherwise(folded)
+    def step(state: Column, _: Column) -> Column:
+        def merge(at: Column) -> Column:
+            rank = state[at - 1]
+            joined = rank + (merges.shift + 257)
+            around = F.array(state[at - 4] * merges.base + joined, joined, joined * merges.base + state[at + 2])
+            return F.when(rank == merges.NONE, state).otherwise(F.concat(F.slice(state, F.lit(1), at - 3), F.transform(around, rank_or_self), F.slice(state, at + 3, F.size(state))))
 
+        return _bound(F.array_position(state, F.array_min(state)).cast("int"), merge)
 
-def word_blocks(docs: DataFrame, id_col: str, text_col: str, pattern: str, block_bytes: int) -> DataFrame:
+    inner = F.flatten(F.zip_with(F.slice(word, F.lit(1), n), F.slice(word, F.lit(2), n), lambda x, y: F.array(x, first[(x * 257 + y).cast("int")])))
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.concat(F.array(edge, none), inner, F.array(edge)), step)
+    return F.array_remove(F.array_remove(folded, merges.NONE), merges.edge)
+
+
+def encode_long_word(word: Column, ranked: Column, plane: int) -> Column:
+    """Numbers of one very long pre-token (its bytes, the same as symbols, and the distinct ones of these): a fold over the merges that may occur."""
+    able = F.filter(ranked, lambda m: (F.call_function("translate", m["letters"], word["letters"], F.lit("")) == "") & F.contains(word["bytes"], m["token"]))
+    folded = F.aggregate(able, word["symbols"], lambda s, m: F.replace(s, m["pair"], m["joined"]))
+    return _bound(folded, lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.ascii(F.substring(s, i, F.lit(1))).cast("long") - plane))
+
+
+#: The broadcast memo that this Python worker has read last, and its words: (ids' text, bytes in hexadecimal).
+_READ: list = [None, {}]
+
+
+def _words_of(shared) -> dict[str, tuple[str, str]]:
+    """A memo as a dictionary, made once a worker and not once a task."""
+    if shared is not None and _READ[0] is not shared:
+        words, text, spelled = (c.to_pylist() for c in shared.value.columns)
+        _READ[:] = [shared, dict(zip(words, zip(text, spelled)))]
+    return _READ[1] if shared is not None else {}
+
+
+def word_blocks(docs: DataFrame, id_col: str, text_col: str, pattern: str, block_bytes: int, known: pa.Table | None, long: int, plane: int) -> DataFrame:
     """Blocks of documents: the distinct pre-tokens of a block and each document's words as places
-    among them. A block ends once its texts reach ``block_bytes``."""
+    among them: known words come first, then those to be folded, then the very long ones. A block
+    ends once its texts reach ``block_bytes``."""
     key = docs.schema[id_col].dataType.simpleString()
-    schema = f"docs array<struct<id:{key},at:array<int>>>, words array<string>"
+    schema = f"docs array<struct<id:{key},at:array<int>>>, known_text array<string>, known_hex array<string>, words array<array<bigint>>, long array<struct<bytes:binary,symbols:string,letters:string>>"
+    shared = docs.sparkSession.sparkContext.broadcast(known) if known is not None and known.num_rows else None
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = regex.compile(pattern).findall
+        find, known_words = regex.compile(pattern).findall, _words_of(shared)
         ids, at, ends, size = [], [], [0], 0
 
         class Places(dict):
+            """Three times the place within its kind, and the kind: 0 known, 1 to fold, 2 very long."""
+
+            def __init__(self):
+                self.kinds: tuple[list, list, list] = ([], [], [])
+
             def __missing__(self, word: str) -> int:
-                self[word] = n = len(self)
+                if (memoed := known_words.get(word)) is not None:
+                    kind, value = 0, memoed
+                else:
+                    value = word.encode()
+                    kind = 2 if len(value) > long else 1
+                self[word] = n = 3 * len(self.kinds[kind]) + kind
+                self.kinds[kind].append(value)
                 return n
 
         places = Places()
 
+        def spell(word) -> str:
+            return "".join(chr(plane + b + 1) for b in word)
+
+        def listed(values: list, kind: pa.DataType) -> pa.ListArray:
+            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+
         def block() -> pa.RecordBatch:
-            inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))
+            memoed, fold, lengthy = places.kinds
+            code = np.array(at, np.int64)
+            place = code // 3 + np.array([0, len(memoed), len(memoed) + len(fold)])[code % 3]
+            inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place.astype(np.int32)))
             rows = pa.StructArray.from_arrays([pa.array(ids, id_type), inner], ["id", "at"])
-            words = pa.array([w.encode().hex() for w in places], pa.string())
+            raw = np.frombuffer(b"\0".join([*fold, b""]), np.uint8).astype(np.int64) + 1
+            stops = np.cumsum([len(w) + 1 for w in fold], dtype=np.int64)
+            raw[stops - 1] = 0
+            words = pa.ListArray.from_arrays(pa.array(np.r_[0, stops].astype(np.int32)), pa.array(raw))
             return pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), rows), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)],
-                ["docs", "words"],
-            )
+                [
+                    pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), rows), listed([t for t, _ in memoed], pa.string()), listed([h for _, h in memoed], pa.string()),
+                    pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), listed([{"bytes": w, "symbols": spell(w), "letters": spell(sorted(set(w)))} for w in lengthy], pa.struct([("bytes", pa.binary()), ("symbols", pa.string()), ("letters", pa.string())])),
+                ],
+                ["docs", "known_text", "known_hex", "words", "long"],
+            )
 
         for batch in batches:
             id_type = batch.schema.field(0).type
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
                 ids.append(key)
-                at.extend(map(places.__getitem__, found(text)))
+                at.extend(map(places.__getitem__, find(text)))
                 ends.append(len(at))
                 size += len(text) + 64
                 if size >= block_bytes:
@@ -134,62 +240,120 @@ def word_blocks(docs: DataFrame, id_col: str, text_col: str, pattern: str, block
         if ids:
             yield block()
 
-    return docs.select(id_col, text_col).mapInArrow(blocks, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(blocks, schema)
+
+
+def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", most: int = 393_216, sample_chars: int = 64_000_000) -> DataFrame:
+    """``word``: pre-tokens that occur at least twice in a sample of about ``sample_chars`` characters, the
+    most frequent ones, ``most`` at most and none of over SHARED_BYTES."""
+    from .lm import most_frequent
+
+    size = F.length(text_col)
+    total = docs.agg(F.sum(size).alias("n")).first()["n"] or 0
+    share = min(1.0, sample_chars / max(total, 1))
+    drawn = docs.where(F.pmod(F.xxhash64(F.substring(text_col, 1, 64), size), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, found = regex.compile(pattern).findall, Counter()
+
+        def rows() -> pa.RecordBatch:
+            kept = [(w, n) for w, n in found.items() if len(w) <= SHARED_BYTES and len(w.encode()) <= SHARED_BYTES]
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                found.update(find(text.as_py() or ""))
+                if len(found) > 400_000:
+                    yield rows()
+                    found = Counter()
+        yield rows()
+
+    counts = stored(drawn.select(text_col).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    return most_frequent(counts.where("n > 1"), most)
+
+
+def known_words(docs: DataFrame, merges: Merges, pattern: str, text_col: str = "text", most: int = 393_216, sample_chars: int = 64_000_000) -> pa.Table:
+    """``word``, ``text`` and ``hex`` of the shared words: encoded by the fold, or tokens that it doesn't give."""
+    plain = [(t.decode(), str(r), t.hex()) for t, r in merges.unmade.items() if _is_text(t)]
+    fixed = pa.table({name: pa.array([x[i] for x in plain], pa.string()) for i, name in enumerate(("word", "text", "hex"))})
+    if not most:
+        return fixed
+    words = frequent_words(docs, pattern, text_col, most, sample_chars).select("word").repartition(32, "word")
+    rows = _per_doc(words, merges, r"(?s:.+)", "word", "word", 1 << 21, fixed, lambda parts, spelled: F.struct(F.array_join(parts, "").alias("text"), F.array_join(spelled, "").alias("hex")))
+    return pa.concat_tables([fixed, rows.toArrow().select(["word", "text", "hex"]).cast(fixed.schema)])
+
 
+def _is_text(token: bytes) -> bool:
+    try:
+        return bool(token.decode())
+    except UnicodeDecodeError:
+        return False
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32_000_000) -> DataFrame:
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32_000_000, shared: int = 0) -> DataFrame:
     """One row per document: its id, ``ids`` array<int> and ``decoded`` binary."""
-    return _per_doc(docs, ranks, pattern, id_col, text_col, block_bytes, lambda ids: ids, lambda parts, decoded: F.struct(F.flatten(parts).alias("ids"), decoded.alias("decoded")))
+    merges = Merges(ranks)
+    known = known_words(docs, merges, pattern, text_col, shared)
+
+    def result(parts: Column, spelled: Column) -> Column:
+        ids = F.filter(F.split(F.array_join(parts, " "), " "), lambda x: x != "").cast("array<int>")
+        return F.struct(ids.alias("ids"), F.unhex(F.array_join(spelled, "")).alias("decoded"))
+
+    return _per_doc(docs, merges, pattern, id_col, text_col, block_bytes, known, result)
 
 
-def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32_000_000) -> DataFrame:
+def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32_000_000, shared: int = 393_216) -> DataFrame:
     """One row per document: its id, ``n_tokens``, and SHA-256 of the ids' text and of the decoded bytes."""
+    merges = Merges(ranks)
+    known = known_words(docs, merges, pattern, text_col, shared)
 
-    def result(parts: Column, decoded: Column) -> Column:
+    def result(parts: Column, spelled: Column) -> Column:
         return _bound(
             F.array_join(parts, " "),
             lambda text: F.struct(
                 F.when(text == "", F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_tokens"),
                 F.sha2(text.cast("binary"), 256).alias("ids_sha256"),
-                F.sha2(decoded, 256).alias("decoded_sha256"),
+                F.sha2(F.unhex(F.array_join(spelled, "")), 256).alias("decoded_sha256"),
             ),
         )
 
-    return _per_doc(docs, ranks, pattern, id_col, text_col, block_bytes, lambda ids: F.array_join(ids.cast("array<string>"), " "), result)
+    return _per_doc(docs, merges, pattern, id_col, text_col, block_bytes, known, result)
 
 
-def _bound(value: Column, f) -> Column:
-    """``f`` of a value that is evaluated once, however often ``f`` names it."""
-    return F.transform(F.array(value), f)[0]
-
-
-def _per_doc(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str, text_col: str, block_bytes: int, of_ids, of_doc) -> DataFrame:
-    """``of_ids`` gives what a document needs of a word's ids, ``of_doc`` a struct from those of its
-    words and its decoded bytes. Ids are worked on once a distinct word, not once an occurrence."""
-    table, pieces = literal_ranks(ranks), literal_pieces(ranks)
-    blocks = word_blocks(docs, id_col, text_col, pattern, block_bytes)
+def _per_doc(docs: DataFrame, merges: Merges, pattern: str, id_col: str, text_col: str, block_bytes: int, known: pa.Table | None, of_doc) -> DataFrame:
+    """``of_doc`` gives a struct from a document's words: the decimal ids of each, joined by blanks, and the
+    bytes that those ids stand for, in hexadecimal."""
+    if not merges.rising:
+        long = 1 << 31  # without that order of ranks only one place after another is right
+    else:
+        long = LONG
+    blocks = word_blocks(docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")), "_key", "_text", pattern, block_bytes, known, long, merges.plane)
 
     def rows_of(words: Column) -> Column:
         def row(doc: Column) -> Column:
-            parts = F.transform(doc["at"], lambda i: words["parts"][i])
-            decoded = F.unhex(F.array_join(F.transform(doc["at"], lambda i: words["spelled"][i]), ""))
-            return F.struct(doc["id"].alias("id"), of_doc(parts, decoded).alias("result"))
+            parts = F.transform(doc["at"], lambda i: words["text"][i])
+            spelled = F.transform(doc["at"], lambda i: words["hex"][i])
+            return F.struct(doc["id"].alias("id"), of_doc(parts, spelled).alias("result"))
 
         return F.transform("docs", row)
 
-    def of_words(encoded: Column, pieces: Column) -> Column:
-        return F.struct(F.transform(encoded, of_ids).alias("parts"), F.transform(encoded, lambda ids: spelled(ids, pieces)).alias("spelled"))
+    def encoded(tables: Column) -> Column:
+        short = _bound(tables["pairs"], lambda pairs: _bound(tables["first"], lambda first: F.transform("words", lambda w: encode_word(w, merges, pairs, first))))
+        lengthy = F.when(F.size("long") > 0, _bound(merges.ranked(), lambda ranked: F.transform("long", lambda w: encode_long_word(w, ranked, merges.plane)))).otherwise(F.array().cast("array<array<bigint>>"))
+        return _bound(F.concat(short, lengthy), lambda numbers: F.struct(F.concat("known_text", written(numbers, tables["text"], " ")).alias("text"), F.concat("known_hex", written(numbers, tables["hex"], "")).alias("hex")))
 
-    encoded = _bound(table, lambda v: F.transform("words", lambda w: encode_word(w, v)))
-    words = _bound(F.struct(encoded.alias("encoded"), pieces.alias("pieces")), lambda v: of_words(v["encoded"], v["pieces"]))
+    words = _bound(merges.literal(), encoded)
     return blocks.select(F.explode(_bound(words, rows_of)).alias("row")).select(F.col("row.id").alias(id_col), "row.result.*")
 
 
-def spelled(ids: Column, pieces: Column) -> Column:
-    """The bytes that ``ids`` stand for, in hexadecimal: their pieces, concatenated."""
-    return F.array_join(F.transform(ids, lambda i: pieces[i]), "")
+def written(numbers: Column, table: Column, between: str) -> Column:
+    """For each word, what its numbers stand for in ``table``: decimal ids, or pieces of bytes in hexadecimal."""
+    return F.transform(numbers, lambda word: F.array_join(F.transform(word, lambda n: table[n.cast("int")]), between))
 
 
-def decode(ids: Column, pieces: Column) -> Column:
-    """The bytes that ``ids`` stand for."""
-    return F.unhex(spelled(ids, pieces))
+def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes that ``ids`` stand for: their pieces, concatenated."""
+    pieces = [""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        pieces[rank] = token.hex()
+    return _bound(F.from_json(F.when(ids.isNotNull(), F.lit(json.dumps(pieces))), "array<string>"), lambda table: F.unhex(F.array_join(F.transform(ids, lambda i: table[i]), "")))

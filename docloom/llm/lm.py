@@ -68,9 +68,11 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The words of the highest counts, ``most`` at most, by falling count. A histogram over steps of
-    the logarithm gives the least count, so that no task sends words that are not wanted."""
+def most_frequent(counts: DataFrame, most: int, max_bytes: int = 256) -> DataFrame:
+    """The rows of ``counts`` (word, n) of the highest counts, ``most`` at most, words of over ``max_bytes``
+    left out: what they take is bounded. A histogram over steps of the logarithm gives the least count,
+    so that no task sends words that are not wanted."""
+    counts = counts.where(F.octet_length("word") <= max_bytes)
     step = F.floor(F.log2("n") * 32)
     sizes = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()  # 2,048 rows at most
     room, least = most, None
@@ -79,10 +81,7 @@ def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
         if room < 0:
             break
         least = r["step"]
-    if least is None:
-        return []
-    rows = [(bytes(r["word"]), r["n"]) for r in counts.where(step >= least).select("word", "n").collect()]
-    return sorted(rows, key=lambda x: (-x[1], x[0]))
+    return counts.where(step >= least) if least is not None else counts.limit(0)
 
 
 @dataclass
@@ -180,7 +179,7 @@ def train(docs: DataFrame, counts: DataFrame, text_col: str = "text", vocab: int
     """Fits the model to ``docs``, whose stored counts are ``counts``. ``rate``: share of positions
     that a round visits, all by default; a smaller share is drawn anew each round and for each row."""
     spark = docs.sparkSession
-    top = most_frequent(counts, hot)
+    top = sorted(((bytes(r["word"]), r["n"]) for r in most_frequent(counts, hot).select("word", "n").collect()), key=lambda x: (-x[1], x[0]))
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     frequent = {w: i for i, (w, _) in enumerate(top[:vocab])}
     known = {w: (frequent.get(w, vocab + class_of(w)), n) for w, n in top}

@@ -11,13 +11,16 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import tiktoken
 import xxhash
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from docloom.llm import covertree, quality, queries
+from docloom.llm import bpe, covertree, quality, queries
 
 CLASH = ["_text", "_score", "_gone", "_id", "fp", "n", "node", "component", "score", "lang_pred", "languages", "words", "ids", "at", "shard", "piece", "length", "cluster", "_order", "payload", "original", "v", "block", "box", "id", "kind", "mark", "is_query"]
 LONG = " ".join(f"w{k % 977}" for k in range(60_000))
@@ -26,7 +29,7 @@ LONG = " ".join(f"w{k % 977}" for k in range(60_000))
 def texts() -> list[str | None]:
     en = "The old house near the river was quiet and the people of the town walked home {} in the evening."
     de = "Das alte Haus am Fluss war still und die Leute der Stadt gingen am Abend {} nach Hause."
-    out = [None, "", " ", "\n\t\x0b", "a", "a b c", "123 456 !!", "\u0085x\u001cy z", "<|endoftext|> x", "漢字 😀 été", LONG, LONG + " end", "x" * 3_000]
+    out = [None, "", " ", "\n\t\x0b", "a", "a b c", "123 456 !!", "\u0085x\u001cy z", "<|endoftext|> x", "漢字 😀 été", LONG, LONG + " end", "x" * 50_000, "ab" * 300]
     for k in range(40):
         out += [en.format(f"number {k} of {k * k}") * 3, de.format(f"Nummer {k} von {k * k}") * 3]
     out += ["Same text again and again in the evening of the old town."] * 12
@@ -49,8 +52,8 @@ def tables(folder, empty: bool = False):
     lang = [None if i is None or i % 11 == 0 else "de" if x and x.startswith("Das") else "en" for i, x in zip(ids, t)]
     source = [None if k % 7 == 0 else "hot" if k % 3 else f"s{k}" for k in range(n)]
     write(folder, "documents", {"doc_id": pa.array(ids, pa.int64()), "text": pa.array(t), "lang": pa.array(lang), "source": pa.array(source), "n_chars": pa.array([None if x is None else len(x) for x in t], pa.int64())}, empty)
-    marked = [i for i in range(13, 135) if i % 3]
-    good = [None if i % 13 == 0 else int(i < 105) for i in marked]
+    marked = [i for i in range(14, 136) if i % 3]
+    good = [None if i % 13 == 0 else int(i < 106) for i in marked]
     write(folder, "labels", {"doc_id": pa.array([*marked, 15, None], pa.int64()), "quality": pa.array([*good, 1, 1], pa.int32()), "toxic": pa.array([None] * (len(marked) + 2), pa.int32())}, empty)
     r = np.random.default_rng(3)
     x = r.normal(size=(90, 8)).astype("f4")
@@ -102,6 +105,27 @@ def test_a_row_per_document(spark, hostile, name):
         assert all(r["held_out"] == (remainder(r["doc_id"], m) == rest) for r in got)
 
 
+def test_encoding_is_the_library(spark, hostile):
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for i, t in documents(hostile):
+        ids = enc.encode_ordinary(t or "")
+        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    got = [(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in queries.op1_byte_bpe(spark, hostile).collect()]
+    assert ordered(got) == ordered(want)
+
+
+def test_token_counts(spark, hostile):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for i, t in documents(hostile):
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        want.append((i, len((t or "").encode()), n, n > 512))
+    got = [(r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in queries.op6_token_counts(spark, hostile).collect()]
+    assert ordered(got) == ordered(want)
+
+
 def test_base_scores(spark, hostile):
     docs = documents(hostile)
     counts = Counter(w for i, t in docs if remainder(i, 10) for w in [*split(t), ""])
@@ -224,10 +248,10 @@ def test_pipeline(spark, hostile, tmp_path):
     scored = {r["doc_id"]: r["predicted"] for r in queries.op10_pu_quality(spark, hostile).collect()}
     whole = [d for d in documents(hostile) if scored[d[0]] or [i for i, _ in documents(hostile)].count(d[0]) > 1]
     assert {d[0] for d in kept["quality"]} <= {d[0] for d in whole} and {i for i, p in scored.items() if p} <= {d[0] for d in kept["quality"]} | {7, 20, None}
-    assert sum(13 <= (i or 0) < 93 for i, _, _ in kept["quality"]) >= 76  # clean prose stays
-    assert not any(105 <= (i or 0) < 135 for i, _, _ in kept["quality"])  # shouting goes
+    assert sum(14 <= (i or 0) < 94 for i, _, _ in kept["quality"]) >= 76  # clean prose stays
+    assert not any(106 <= (i or 0) < 136 for i, _, _ in kept["quality"])  # shouting goes
     assert set(kept["language"]) <= set(kept["quality"]) and not any(t is None or not re.search(r"[^\W\d_]", t) for _, t, _ in kept["language"])
-    assert sum(13 <= (i or 0) < 93 for i, _, _ in kept["language"]) >= 76
+    assert sum(14 <= (i or 0) < 94 for i, _, _ in kept["language"]) >= 76
     named = components([d[:2] for d in kept["language"]])
     assert {i for i, _, _ in kept["near_duplicates"] if i is not None} == {c for _, _, c in named if c is not None}
     assert len({i for i, _, _ in kept["near_duplicates"] if i is not None}) == len([i for i, _, _ in kept["near_duplicates"] if i is not None])
