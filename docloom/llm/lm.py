@@ -7,8 +7,9 @@ bound. The neural model predicts one of ``vocab`` frequent words, the end, or on
 of classes of rarer words (by ending) from the two tokens before; within its class a rarer word has
 its smoothed relative frequency, so the probabilities of all texts are normalised.
 
-Training is noise-contrastive: each round, each task visits every position of all of its texts, a
-bounded block at a time, trains a copy in numpy and the copies are averaged by Spark. Scoring computes all normalisers at
+Training is noise-contrastive: a round visits every position of every text. Each task trains a copy in
+numpy on its texts, a bounded block at a time; ``syncs`` times a round, each after a share of the
+positions of each block, Spark averages the copies, at most TRAINERS of them. Scoring computes all normalisers at
 once as a product of matrices: exp(A[u, w] + B[v, w] + b[w]) summed over w is exp(A) @ exp(B + b).T.
 
 Defined results: null and blank texts are one end token; with no training text N = V = 0 and both
@@ -34,6 +35,7 @@ END = b""  # no word is empty
 CLASSES = 256
 SMOOTH = 0.1
 BLOCK = 1 << 18  # tokens that a task holds at once in training, and one text more
+TRAINERS = 4096  # copies of the parameters that are averaged at once, at most
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -112,10 +114,10 @@ def start_params(prior: np.ndarray, dim: int, seed: int = 3) -> dict[str, np.nda
     }
 
 
-def nce_epoch(params: dict[str, np.ndarray], prior: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, rate: float = 0.15, batch: int = 2048, noise: int = 96, seed: int | list[int] = 0, acc: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+def nce_epoch(params: dict[str, np.ndarray], prior: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, rate: float = 0.15, batch: int = 1024, noise: int = 48, seed: int | list[int] = 0, acc: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
     """One pass of noise-contrastive estimation with Adagrad over contexts (u, v) and words w; each
-    batch shares its noise words, drawn from the unigram distribution. ``acc``: Adagrad's sums of an
-    earlier block of the same pass, which this one goes on with; it changes them."""
+    batch sums its gradients and shares its noise words, drawn from the unigram distribution. ``acc``:
+    Adagrad's sums of earlier passes, which this one goes on with; it changes them."""
     p = {k: x.astype(np.float32).copy() for k, x in params.items()}
     if acc is None:
         acc = {}
@@ -124,34 +126,38 @@ def nce_epoch(params: dict[str, np.ndarray], prior: np.ndarray, u: np.ndarray, v
     r = np.random.default_rng(seed)
     log_kp = np.log(noise * prior).astype(np.float32)
     order, cumulative = r.permutation(len(w)), np.cumsum(prior)
+    narrow = np.uint16 if len(params["r"]) < 1 << 16 else np.int64  # sorted by radix
 
     def descend(name: str, at: np.ndarray | None, grad: np.ndarray) -> None:
         if at is None:
             acc[name] += grad * grad
             p[name] -= rate * grad / np.sqrt(acc[name])
             return
-        rows, inverse = np.unique(at, return_inverse=True)
-        by = np.argsort(inverse, kind="stable")
-        sums = np.add.reduceat(grad[by], np.searchsorted(inverse[by], np.arange(len(rows))), axis=0)
-        acc[name][rows] += sums * sums
-        p[name][rows] -= rate * sums / np.sqrt(acc[name][rows])
+        by = np.argsort(at.astype(narrow), kind="stable")
+        at = at[by]
+        firsts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        rows, sums = at[firsts], np.add.reduceat(grad[by], firsts, axis=0)
+        total = acc[name][rows] + sums * sums
+        acc[name][rows] = total
+        p[name][rows] -= rate * sums / np.sqrt(total)
 
     for k in range(0, len(order), batch):
         i = order[k : k + batch]
         x = np.minimum(np.searchsorted(cumulative, r.random(noise) * cumulative[-1]), len(prior) - 1)
-        ru, rv, wi = p["r"][u[i]], p["r"][v[i]], w[i]
+        ui, vi, wi = u[i], v[i], w[i]
+        ru, rv = p["r"][ui], p["r"][vi]
         h = ru @ p["c2"] + rv @ p["c1"]
         qw, qx = p["q"][wi], p["q"][x]
         s_w = (h * qw).sum(1) + p["b"][wi] - log_kp[wi]
-        s_x = h @ qx.T + p["b"][x] - log_kp[x]
-        d_w = (1 / (1 + np.exp(-np.clip(s_w, -30, 30))) - 1) / len(i)
-        d_x = 1 / (1 + np.exp(-np.clip(s_x, -30, 30))) / len(i)
+        s_x = h @ qx.T + (p["b"][x] - log_kp[x])
+        d_w = 1 / (1 + np.exp(-np.clip(s_w, -30, 30))) - 1
+        d_x = 1 / (1 + np.exp(-np.clip(s_x, -30, 30)))
         dh = d_w[:, None] * qw + d_x @ qx
         grads = {"c2": ru.T @ dh, "c1": rv.T @ dh}
         du, dv = dh @ p["c2"].T, dh @ p["c1"].T
         descend("q", np.r_[wi, x], np.vstack([d_w[:, None] * h, d_x.T @ h]))
         descend("b", np.r_[wi, x], np.r_[d_w, d_x.sum(0)])
-        descend("r", np.r_[u[i], v[i]], np.vstack([du, dv]))
+        descend("r", np.r_[ui, vi], np.vstack([du, dv]))
         descend("c1", None, grads["c1"])
         descend("c2", None, grads["c2"])
     return p
@@ -161,11 +167,12 @@ def pack(params: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([params[k].ravel() for k in sorted(params)]).astype(np.float32)
 
 
-def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def unpack(flat: np.ndarray, shapes: dict[str, tuple]) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape)
-        at += like[k].size
+    for k in sorted(shapes):
+        size = math.prod(shapes[k])
+        out[k] = flat[at : at + size].reshape(shapes[k])
+        at += size
     return out
 
 
@@ -175,9 +182,9 @@ def contexts(outputs: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     return padded[:-2], padded[1:-1]
 
 
-def train(docs: DataFrame, counts: DataFrame, text_col: str = "text", vocab: int = 2048, hot: int = 131_072, dim: int = 32, rounds: int = 3, rate: float = 1.0) -> Model:
-    """Fits the model to ``docs``, whose stored counts are ``counts``. ``rate``: share of positions
-    that a round visits, all by default; a smaller share is drawn anew each round and for each row."""
+def train(docs: DataFrame, counts: DataFrame, text_col: str = "text", vocab: int = 2048, hot: int = 131_072, dim: int = 32, rounds: int = 1, syncs: int = 4) -> Model:
+    """Fits the model to ``docs``, whose stored counts are ``counts``: ``rounds`` passes over all positions,
+    the copies averaged ``syncs`` times in each."""
     spark = docs.sparkSession
     top = sorted(((bytes(r["word"]), r["n"]) for r in most_frequent(counts, hot).select("word", "n").collect()), key=lambda x: (-x[1], x[0]))
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -221,38 +228,39 @@ def train(docs: DataFrame, counts: DataFrame, text_col: str = "text", vocab: int
                 yield pa.RecordBatch.from_arrays([pa.array([np.array(block, kind).tobytes()], pa.binary())], ["x"])
 
     chunks = stored(docs.select(text_col).mapInArrow(coded, "x binary"), "contexts")
-    size, like = len(pack(model.params)), model.params
-    width = math.ceil(size / 64)
-    for turn in range(rounds):
-        shared = spark.sparkContext.broadcast(pack(model.params))
-        pace = 0.15 / (1 + turn)
+    chunks = chunks.coalesce(TRAINERS)
+    state = model.params | {f"acc {k}": np.full_like(x, 1e-2) for k, x in model.params.items()}
+    parts = 64
+    width = math.ceil(len(pack(state)) / parts)
+    model_prior = spark.sparkContext.broadcast(model.prior)
+    for turn in range(rounds * syncs):
+        shared = spark.sparkContext.broadcast(pack(state))
+        pace, share = 0.15 / (1 + turn / 2), turn % syncs
+        like = {k: x.shape for k, x in state.items()}
 
         def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            params, acc, visited, salt, blocks = unpack(shared.value, like), {}, 0, 0, 0
+            found = {k: x.copy() for k, x in unpack(shared.value, like).items()}
+            params, acc = ({k.removeprefix("acc "): x for k, x in found.items() if k.startswith("acc ") == wanted} for wanted in (False, True))
+            visited, salt, blocks = 0, 0, 0
             for x in (x for batch in batches for x in batch.column(0)):
                 tokens = np.frombuffer(x.as_py(), kind).astype(np.int32)
-                seed = [turn, blocks, zlib.crc32(tokens.tobytes())]
-                at = np.flatnonzero(tokens != start)  # two starts stand before each text
-                if rate < 1:
-                    at = at[np.random.default_rng([1, *seed]).random(len(at)) < rate]
-                params = nce_epoch(params, model_prior.value, tokens[at - 2], tokens[at - 1], tokens[at], rate=pace, seed=seed, acc=acc)
+                at = np.flatnonzero(tokens != start)[share::syncs]  # two starts stand before each text
+                params = nce_epoch(params, model_prior.value, tokens[at - 2], tokens[at - 1], tokens[at], rate=pace, seed=[turn, blocks, zlib.crc32(tokens.tobytes())], acc=acc)
                 visited, blocks = visited + len(at), blocks + 1
                 salt = salt or int(tokens[:64].sum()) % 64
             if not visited:
                 return
-            flat = pack(params)
-            parts = [flat[k * width : (k + 1) * width] for k in range(64)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(64), pa.int32()), pa.array([salt] * 64, pa.int32()), pa.array([float(visited)] * 64), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "salt", "n", "x"]
-            )
+            flat = pack(params | {f"acc {k}": x for k, x in acc.items()})
+            cut = [flat[k * width : (k + 1) * width].tobytes() for k in range(parts)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([salt] * parts, pa.int32()), pa.array([float(visited)] * parts), pa.array(cut, pa.binary())], ["part", "salt", "n", "x"])
 
-        model_prior = spark.sparkContext.broadcast(model.prior)
         copies = chunks.mapInArrow(fitted, "part int, salt int, n double, x binary")
         for keys in (["part", "salt"], ["part"]):  # averaged in two steps: no task holds all copies
             copies = copies.groupBy(*keys).applyInArrow(_average, "part int, salt int, n double, x binary")
         rows = {r["part"]: np.frombuffer(r["x"], np.float32) for r in copies.collect()}  # 64 rows
         if rows:
-            model.params = unpack(np.concatenate([rows[k] for k in range(64)]), like)
+            state = unpack(np.concatenate([rows[k] for k in range(parts)]), like)
+    model.params = {k: x for k, x in state.items() if not k.startswith("acc ")}
     return model
 
 
@@ -275,8 +283,16 @@ def tables(params: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
     return a, b, z
 
 
-#: Tables of the model last used by this Python worker, and the places of its frequent words.
-_TABLES: dict[int, tuple] = {}
+#: The broadcast model that this Python worker has used last, its tables and the places of its frequent words.
+_LAST: list = [None, None]
+
+
+def _tables_of(shared) -> tuple:
+    """Tables and places, made once a worker and not once a task."""
+    if _LAST[0] is not shared:
+        m, words, numbers = shared.value
+        _LAST[:] = [shared, (m, numbers, *tables(m.params), dict(zip(words.split(b"\n"), range(len(numbers[0]) - 1))))]
+    return _LAST[1]
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
@@ -293,12 +309,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     shared = spark.sparkContext.broadcast((replace(model, hot={}), b"\n".join(model.hot), columns))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, words_text, (output_of, base_of, rare_of) = shared.value
-        key = hash((m.total, words_text, m.params["b"].tobytes()))
-        if key not in _TABLES:
-            _TABLES.clear()
-            _TABLES[key] = (*tables(m.params), dict(zip(words_text.split(b"\n"), range(len(output_of) - 1))))
-        a, b, z, place = _TABLES[key]
+        m, (output_of, base_of, rare_of), a, b, z, place = _tables_of(shared)
         start = len(m.prior)
         for batch in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
             sizes, knowns, bases, scores, rares, tfs, ends = [], [], [], [], [], [], [0]

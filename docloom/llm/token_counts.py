@@ -87,11 +87,15 @@ class Counter(dict):
 _COUNTERS: dict[tuple[str, int], Counter] = {}
 
 
+def _counter(path: str, memo_words: int) -> Counter:
+    return _COUNTERS.get((path, memo_words)) or _COUNTERS.setdefault((path, memo_words), Counter(path, memo_words))
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", memo_words: int = 1_200_000) -> DataFrame:
     """Per document: its id, ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens)."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _COUNTERS.get((path, memo_words)) or _COUNTERS.setdefault((path, memo_words), Counter(path, memo_words))
+        counter = _counter(path, memo_words)
         for batch in batches:
             counts = [counter.count(text.as_py() or "") for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], [id_col, "n_bytes", "n_tokens"])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docloom.llm import ann, bpe, components, covertree, langid, lm, packing, quality, simhash, token_counts, warc
-from docloom.llm.common import shared_dir
+from docloom.llm.common import shared_dir, stored
 
 TEXTS = [None, "", " ", "\n\t", "Hello world hello", "a" * 300, "été ÜBER ß 漢字 😀\u0085x\u001c", "it's 12345 !!! <|endoftext|> x", "one two three four five " * 40, "one two three four five " * 40]
 
@@ -106,13 +106,41 @@ def test_language_mixture(spark):
 
 def test_language_model_is_normalised(spark, docs):
     counts = lm.count_words(docs)
-    model = lm.train(docs, counts, vocab=8, hot=6, rounds=1, rate=1.0)
+    model = lm.train(docs, counts, vocab=8, hot=6, rounds=1)
     a, b, z = lm.tables(model.params)
     assert np.allclose(np.exp(a[:, None] + b[None] - z[..., None]).sum(-1), 1, atol=1e-3)
     got = {r["doc_id"]: r for r in lm.score(docs, model, counts).collect()}
     assert got[0]["n_tokens"] == 1 and got[9]["n_tokens"] == 201 and got[9]["score"] == pytest.approx(got[8]["score"])
 
 
+def test_language_model_learns(spark):
+    """On a Markov chain of five successors a word, held-out texts score far above their unigrams; the score is brute force."""
+    r = random.Random(1)
+    follow = [[r.randrange(400) for _ in range(5)] for _ in range(400)]
+
+    def text() -> str:
+        out = [r.randrange(400)]
+        while len(out) < 200:
+            out.append(r.choice(follow[out[-1]]))
+        return " ".join(f"w{k}" for k in out)
+
+    train = spark.createDataFrame([(k, text()) for k in range(2000)], "doc_id long, text string")
+    held = [(k, text()) for k in range(50)]
+    counts = stored(lm.count_words(train), "counts")
+    model = lm.train(train, counts)
+    got = {x["doc_id"]: x for x in lm.score(spark.createDataFrame(held, "doc_id long, text string"), model, counts).collect()}
+    gain = sum(x["score"] - x["base_score"] for x in got.values()) / sum(x["n_tokens"] for x in got.values())
+    assert gain >= 0.5
+    p, start = model.params, len(model.prior)
+    outputs = [model.hot[w][0] for w in [*lm.words_of(held[0][1]), lm.END]]
+    total, u, v = 0.0, start, start
+    for w in outputs:
+        logits = (p["r"][u] @ p["c2"] + p["r"][v] @ p["c1"]) @ p["q"].T.astype(float) + p["b"]
+        total += logits[w] - np.log(np.exp(logits).sum())
+        u, v = v, w
+    assert got[0]["score"] == pytest.approx(total / np.log(10), rel=1e-4)
+
+
 def test_quality_learns(spark):
     good = [(i, f"A plain sentence number {i} with some words. " * 4) for i in range(60)]
     bad = [(100 + i, f"BUY NOW!!! {i} $$$ ### " * 9) for i in range(60)]
