@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import json
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -144,7 +145,7 @@ def encode_word(word: Column, merges: Merges, pairs: Column, first: Column) -> C
             rank = state[at - 1]
             joined = rank + (merges.shift + 257)
             around = F.array(state[at - 4] * merges.base + joined, joined, joined * merges.base + state[at + 2])
-            return F.when(rank == merges.NONE, state).otherwise(F.concat(F.slice(state, F.lit(1), at - 3), F.transform(around, rank_or_self), F.slice(state, at + 3, F.size(state))))
+            return F.when(rank == merges.NONE, state).otherwise(F.flatten(F.array(F.slice(state, F.lit(1), at - 3), F.transform(around, rank_or_self), F.slice(state, at + 3, F.size(state)))))
 
         return _bound(F.array_position(state, F.array_min(state)).cast("int"), merge)
 
@@ -182,7 +183,7 @@ def word_blocks(docs: DataFrame, id_col: str, text_col: str, pattern: str, block
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, known_words = regex.compile(pattern).findall, _words_of(shared)
-        ids, at, ends, size = [], [], [0], 0
+        ids, at, ends, size = [], array("i"), [0], 0
 
         class Places(dict):
             """Three times the place within its kind, and the kind: 0 known, 1 to fold, 2 very long."""
@@ -210,7 +211,7 @@ def word_blocks(docs: DataFrame, id_col: str, text_col: str, pattern: str, block
 
         def block() -> pa.RecordBatch:
             memoed, fold, lengthy = places.kinds
-            code = np.array(at, np.int64)
+            code = np.frombuffer(at, np.int32) if len(at) else np.zeros(0, np.int32)
             place = code // 3 + np.array([0, len(memoed), len(memoed) + len(fold)])[code % 3]
             inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place.astype(np.int32)))
             rows = pa.StructArray.from_arrays([pa.array(ids, id_type), inner], ["id", "at"])
@@ -236,7 +237,7 @@ def word_blocks(docs: DataFrame, id_col: str, text_col: str, pattern: str, block
                 size += len(text) + 64
                 if size >= block_bytes:
                     yield block()
-                    ids, at, ends, size, places = [], [], [0], 0, Places()
+                    ids, at, ends, size, places = [], array("i"), [0], 0, Places()
         if ids:
             yield block()
 
@@ -290,7 +291,7 @@ def _is_text(token: bytes) -> bool:
         return False
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32_000_000, shared: int = 0) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 14_000_000, shared: int = 0) -> DataFrame:
     """One row per document: its id, ``ids`` array<int> and ``decoded`` binary."""
     merges = Merges(ranks)
     known = known_words(docs, merges, pattern, text_col, shared)
@@ -302,7 +303,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     return _per_doc(docs, merges, pattern, id_col, text_col, block_bytes, known, result)
 
 
-def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32_000_000, shared: int = 393_216) -> DataFrame:
+def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 14_000_000, shared: int = 393_216) -> DataFrame:
     """One row per document: its id, ``n_tokens``, and SHA-256 of the ids' text and of the decoded bytes."""
     merges = Merges(ranks)
     known = known_words(docs, merges, pattern, text_col, shared)
@@ -330,12 +331,10 @@ def _per_doc(docs: DataFrame, merges: Merges, pattern: str, id_col: str, text_co
     blocks = word_blocks(docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")), "_key", "_text", pattern, block_bytes, known, long, merges.plane)
 
     def rows_of(words: Column) -> Column:
-        def row(doc: Column) -> Column:
-            parts = F.transform(doc["at"], lambda i: words["text"][i])
-            spelled = F.transform(doc["at"], lambda i: words["hex"][i])
-            return F.struct(doc["id"].alias("id"), of_doc(parts, spelled).alias("result"))
+        def rows(text: Column, spelled: Column) -> Column:
+            return F.transform("docs", lambda doc: F.struct(doc["id"].alias("id"), of_doc(F.transform(doc["at"], lambda i: text[i]), F.transform(doc["at"], lambda i: spelled[i])).alias("result")))
 
-        return F.transform("docs", row)
+        return _bound(words["text"], lambda text: _bound(words["hex"], lambda spelled: rows(text, spelled)))
 
     def encoded(tables: Column) -> Column:
         short = _bound(tables["pairs"], lambda pairs: _bound(tables["first"], lambda first: F.transform("words", lambda w: encode_word(w, merges, pairs, first))))
