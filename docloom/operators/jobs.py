@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,15 +51,36 @@ def next_runnable(rows: DataFrame, idx: str, pending: Column, cursor: Column, ke
 
 
 def throttled(rows: DataFrame, key: str, time: Column, value: str, order: list[str], gap: int = 500) -> DataFrame:
-    """Progress reports without those that repeat the value before within ``gap``."""
-    w = Window.partitionBy(key).orderBy(*order)
-    same = F.lag(value).over(w) == F.col(value)
-    return rows.withColumn("repeated", same & (time - F.lag(time).over(w) < gap)).where(~F.coalesce("repeated", F.lit(False))).drop("repeated")
+    """Progress reports without those that repeat the value sent last less than ``gap`` after it was sent.
+
+    Rows come to a task sorted by key and pass through it one by one; all it keeps is the last report."""
+    names = rows.columns
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            keep = []
+            for k, v, at in zip(batch.column(names.index(key)).to_pylist(), batch.column(names.index(value)).to_pylist(), batch.column(len(names)).to_pylist()):
+                keep.append(last is None or last[:2] != (k, v) or at - last[2] >= gap)
+                if keep[-1]:
+                    last = (k, v, at)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(names)
+
+    dealt = rows.withColumn("_time", time.cast("long")).repartition(key).sortWithinPartitions(key, *order)
+    return dealt.mapInArrow(sent, rows.schema)
+
+
+def release_due(rows: DataFrame, now: Column) -> DataFrame:
+    """Deferred rows whose ``next_retry`` has come or is unset become pending."""
+    due = (F.col("status") == "deferred") & (F.coalesce("next_retry", F.lit(0)) <= now)
+    return rows.withColumns({"status": F.when(due, "pending").otherwise(F.col("status")), "next_retry": F.when(due, 0).otherwise(F.col("next_retry"))})
 
 
-def backoff(outcomes: Column, factor: float = 2.0, most: float = 10.0) -> Column:
-    """Throttle multiplier after a bounded list of outcomes (true: throttled again)."""
-    return F.aggregate(outcomes, F.lit(1.0), lambda m, hit: F.when(hit, F.least(m * factor, F.lit(most))).otherwise(F.greatest(m / factor, F.lit(1.0))))
+def reset(rows: DataFrame, which: Column) -> DataFrame:
+    """The rows of ``which`` become pending, without error, retry time and counters."""
+    which = F.coalesce(which, F.lit(False))
+    cleared = {"status": F.lit("pending"), "error": F.lit(None).cast("string"), "next_retry": F.lit(None).cast("long"), "defer_count": F.lit(0), "hard_interrupts": F.lit(0)}
+    return rows.withColumns({name: F.when(which, value).otherwise(F.col(name)) for name, value in cleared.items()})
 
 
 def log_ring(rows: DataFrame, key: str, order: list[Column], n: int = 300) -> DataFrame:
@@ -64,5 +88,22 @@ def log_ring(rows: DataFrame, key: str, order: list[Column], n: int = 300) -> Da
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
 
 
+#: Levels by their patterns, the first match counts, and lines that are not shown. Fixed values.
+LEVELS = {"success": "成功|完成|获取到", "error": "失败|错误|Error", "warn": "暂停|取消|跳过|加密"}
+NOISE = r"^\s*(文档类型:|类型:|使用本地|数据表记录:|内嵌白板渲染:|官方导出失败，自动切换)"
+
+
 def log_level(message: Column) -> Column:
-    return F.when(message.rlike("(?i)error|fail"), "error").when(message.rlike("(?i)warn|retry|click"), "warning").when(message.rlike("(?i)success|purchase"), "success").otherwise("info")
+    """Level of a log line, empty for a plain one."""
+    return F.coalesce(*(F.when(message.rlike(pattern), level) for level, pattern in LEVELS.items()), F.lit(""))
+
+
+def shown_log(message: Column) -> Column:
+    """Whether a log line is shown: neither blank nor one of the details."""
+    content = F.regexp_replace(message, r"^([^\[]*)\[.*?\]\s*", "$1")
+    return ~content.rlike(NOISE) & ~message.rlike(r"^\s*$")
+
+
+def merged_logs(logs: DataFrame, line: str, order: Column) -> DataFrame:
+    """Each line once, where it occurs first."""
+    return logs.groupBy(line).agg(F.min(order).alias("first_at"))

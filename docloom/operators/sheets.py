@@ -26,8 +26,28 @@ def sheet_text(lines: DataFrame, key: str, row: str, sep: str = "\n") -> DataFra
 
 
 def csv_cell(value: Column) -> Column:
-    """Quoted where it holds a comma, a quote or a line end."""
-    return F.when(value.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)
+    """Quoted where it holds a comma, a quote or a line feed."""
+    return F.when(value.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)
+
+
+def markdown_cell(value: Column) -> Column:
+    """Bars escaped, line feeds as spaces."""
+    return F.replace(F.replace(value, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+
+
+def markdown_lines(grid: DataFrame, key: str, row: str, col: str, value: str) -> DataFrame:
+    """The rows of a grid as lines of a Markdown table; the line of row 0 carries the separator below it."""
+    lines = row_texts(grid, key, row, col, markdown_cell(F.col(value)), " | ").withColumn("line", F.concat(F.lit("| "), "line", F.lit(" |")))
+    columns = grid.groupBy(key).agg((F.max(col) + 1).cast("int").alias("_columns"))
+    rule = F.concat(F.lit("\n| "), F.array_join(F.array_repeat(F.lit("---"), F.col("_columns")), " | "), F.lit(" |"))
+    return lines.join(columns, key).withColumn("line", F.concat("line", F.when(F.col(row) == 0, rule).otherwise(""))).drop("_columns")
+
+
+def joined_sheets(texts: DataFrame, doc: str, name: Column, order: str, before: str, after: str) -> DataFrame:
+    """The sheets of a document under their names, blank lines between; a single sheet stands without its name."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order), name.alias("name"), F.col("text"))))
+    named = F.array_join(F.transform(parts, lambda p: F.concat(F.lit(before), p["name"], F.lit(after), p["text"])), "\n\n")
+    return texts.groupBy(doc).agg(F.when(F.count("*") == 1, F.first("text")).otherwise(named).alias("text"))
 
 
 def covered_cells(cells: DataFrame, merges: DataFrame, key: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.checkpoints import held
+
 
 def option_label(value: Column, options: dict[str, str]) -> Column:
     """Label of an option; an id without one stays as it is."""
@@ -18,13 +20,13 @@ def option_labels(values: Column, options: dict[str, str]) -> Column:
 
 
 def ordinals(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Numbers from 1 in a global order: rows are range-partitioned and numbered within partitions
-    after the sizes of those before, so no task holds all rows."""
-    parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    within = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    """Numbers from 1 in a global order: rows are range-partitioned, sorted and held once with their
+    partition and place, then numbered after the sizes of the partitions before. No task holds all rows."""
+    placed = held(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    within = placed.withColumn("_part", F.shiftright("_id", 33)).withColumn("_k", F.col("_id") - F.shiftleft(F.col("_part"), 33) + 1)
     sizes = within.groupBy("_part").agg(F.max("_k").alias("_n"))
     ahead = sizes.withColumn("_ahead", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_ahead")  # a row a partition
-    return within.join(F.broadcast(ahead), "_part").withColumn(name, F.col("_k") + F.col("_ahead")).drop("_part", "_k", "_ahead")
+    return within.join(F.broadcast(ahead), "_part").withColumn(name, F.col("_k") + F.col("_ahead")).drop("_part", "_k", "_ahead", "_id")
 
 
 def view_order(records: DataFrame, view: DataFrame, key: str) -> DataFrame:

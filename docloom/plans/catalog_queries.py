@@ -35,9 +35,9 @@ def _toc(spark: SparkSession, d: str) -> DataFrame:
     return rows.unionAll(node(supplier, "ss_suppkey", F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), "DOC", "s_name"))
 
 
-_PATHS_SQL = """SELECT 'r' || r_regionkey AS uuid, '' AS path FROM region
-UNION ALL SELECT 'n' || n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey
-UNION ALL SELECT 's' || s_suppkey, r_name || '/' || n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+_PATHS_SQL = r"""SELECT 'r' || r_regionkey AS uuid, '' AS path FROM region
+UNION ALL SELECT 'n' || n_nationkey, regexp_replace(r_name, '\s+', '_', 'g') FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 's' || s_suppkey, regexp_replace(r_name, '\s+', '_', 'g') || '/' || n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
 
 
 @query(_PATHS_SQL)
@@ -45,7 +45,13 @@ def toc_paths(spark, d):
     return listing.toc_paths(_toc(spark, d))
 
 
-@query(f"""WITH p AS ({_PATHS_SQL}), n AS (SELECT n_nationkey, r_name || '/' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey)
+@query(r"""SELECT s_suppkey AS doc_id, regexp_replace(r_name, '\s+', '_', 'g') || '/' || n_name AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def toc_doc_paths(spark, d):
+    toc = _toc(spark, d).withColumn("doc_id", F.when(F.col("type") == "DOC", F.col("ord")))
+    return listing.doc_paths(toc, listing.toc_paths(toc))
+
+
+@query(r"""WITH n AS (SELECT n_nationkey, regexp_replace(r_name, '\s+', '_', 'g') || '/' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey)
 SELECT c_custkey AS doc_id, c_name AS title, coalesce(path, '') AS path FROM customer LEFT JOIN n ON c_nationkey = n_nationkey""")
 def docs_with_paths(spark, d):
     folders = listing.toc_paths(_toc(spark, d)).join(t(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("uuid"), "n_nationkey", "n_name"), "uuid")
@@ -53,13 +59,13 @@ def docs_with_paths(spark, d):
     return listing.with_paths(t(spark, d, "customer"), folders, "c_nationkey").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("title"), "path")
 
 
-@query("""WITH p AS (SELECT r_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+@query(r"""WITH p AS (SELECT regexp_replace(r_name, '\s+', '_', 'g') AS r_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
 SELECT r_name AS prefix, 1 AS depth, count(*) AS n FROM p GROUP BY r_name UNION ALL SELECT r_name || '/' || n_name, 2, count(*) FROM p GROUP BY r_name, n_name""")
 def path_tree(spark, d):
     return listing.path_tree(docs_with_paths(spark, d), "path")
 
 
-@query("SELECT r_name AS ancestor, count(*) AS leaves FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+@query(r"SELECT regexp_replace(r_name, '\s+', '_', 'g') AS ancestor, count(*) AS leaves FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def leaf_counts(spark, d):
     paths = listing.toc_paths(_toc(spark, d)).where("uuid like 's%'")
     return paths.groupBy(F.split("path", "/")[0].alias("ancestor")).agg(F.count("*").alias("leaves"))
@@ -110,21 +116,21 @@ def bookmark_split(spark, d):
 
 
 #: Formats of each type, the default first. Fixed values.
-FORMATS = {"Doc": ["md", "docx", "pdf"], "Sheet": ["xlsx", "csv", "md"], "Table": ["xlsx", "md"], "Board": ["png", "svg"]}
+FORMATS = {"Doc": ["md", "docx", "pdf", "jpg"], "Sheet": ["xlsx", "csv", "md", "html"], "Table": ["xlsx", "csv", "md"], "Board": ["png", "jpg", "svg"]}
 _KIND = "CASE p_size % 4 WHEN 0 THEN 'Doc' WHEN 1 THEN 'Sheet' WHEN 2 THEN 'Table' ELSE 'Board' END"
-_CHOICE = "CASE p_size % 3 WHEN 0 THEN 'md' WHEN 1 THEN 'xlsx' ELSE 'png' END"
+_CHOICE = "CASE p_size % 7 WHEN 0 THEN 'md' WHEN 1 THEN 'xlsx' WHEN 2 THEN 'jpg' WHEN 3 THEN 'html' WHEN 4 THEN 'csv' WHEN 5 THEN 'svg' ELSE 'png' END"
 
 
 @query(f"""WITH p AS (SELECT p_partkey AS doc_id, {_KIND} AS doc_type, {_CHOICE} AS choice FROM part),
-f AS (SELECT *, CASE WHEN doc_type = 'Doc' AND choice IN ('md') OR doc_type IN ('Sheet','Table') AND choice IN ('md','xlsx') OR doc_type = 'Board' AND choice = 'png' THEN choice
+f AS (SELECT *, CASE WHEN doc_type = 'Doc' AND choice IN ('md','docx','pdf','jpg') OR doc_type = 'Sheet' AND choice IN ('xlsx','csv','md','html') OR doc_type = 'Table' AND choice IN ('xlsx','csv','md') OR doc_type = 'Board' AND choice IN ('png','jpg','svg') THEN choice
  WHEN doc_type = 'Doc' THEN 'md' WHEN doc_type = 'Board' THEN 'png' ELSE 'xlsx' END AS format FROM p)
-SELECT doc_id, doc_type, format, CASE WHEN doc_type = 'Board' THEN 'board' WHEN doc_type IN ('Sheet','Table') AND format IN ('md','csv') THEN 'local_sheet' WHEN doc_type = 'Doc' AND format = 'md' THEN 'local_doc' ELSE 'api' END AS route FROM f""")
+SELECT doc_id, doc_type, format, CASE WHEN doc_type = 'Board' THEN 'board' WHEN doc_type IN ('Sheet','Table') AND format IN ('md','csv','html') THEN 'local_sheet' WHEN doc_type = 'Doc' AND format = 'md' THEN 'local_doc' ELSE 'api' END AS route FROM f""")
 def format_route(spark, d):
     p = t(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(_KIND).alias("doc_type"), F.expr(_CHOICE).alias("choice"))
     options = F.create_map(*[x for k, v in FORMATS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[F.col("doc_type")]
     p = p.withColumn("format", F.when(F.array_contains(options, F.col("choice")), F.col("choice")).otherwise(options[0]))
     kind, fmt = F.col("doc_type"), F.col("format")
-    route = F.when(kind == "Board", "board").when(kind.isin("Sheet", "Table") & fmt.isin("md", "csv"), "local_sheet").when((kind == "Doc") & (fmt == "md"), "local_doc").otherwise("api")
+    route = F.when(kind == "Board", "board").when(kind.isin("Sheet", "Table") & fmt.isin("md", "csv", "html"), "local_sheet").when((kind == "Doc") & (fmt == "md"), "local_doc").otherwise("api")
     return p.select("doc_id", "doc_type", "format", route.alias("route"))
 
 
@@ -161,9 +167,21 @@ def status_filter(spark, d):
     return t(spark, d, "orders").where(~F.expr(_STATUS).isin("success", "failed")).select("o_orderkey")
 
 
-@query("SELECT CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'click' THEN 'warning' WHEN event_type = 'purchase' THEN 'success' ELSE 'info' END AS level, count(*) AS n FROM events GROUP BY 1")
+_LINE = "CASE event_type WHEN 'error' THEN '[12:00] 导出失败: ' WHEN 'purchase' THEN '[12:00] 导出成功 ' WHEN 'click' THEN '跳过加密文档 ' WHEN 'view' THEN '[12:00] 文档类型: ' ELSE '开始 ' END"
+
+
+@query(f"""WITH l AS (SELECT {_LINE} || event_id AS line FROM events)
+SELECT CASE WHEN regexp_matches(line, '成功|完成|获取到') THEN 'success' WHEN regexp_matches(line, '失败|错误|Error') THEN 'error' WHEN regexp_matches(line, '暂停|取消|跳过|加密') THEN 'warn' ELSE '' END AS level,
+count(*) AS n FROM l WHERE NOT regexp_matches(line, '文档类型:') GROUP BY 1""")
 def log_levels(spark, d):
-    return t(spark, d, "events").groupBy(jobs.log_level(F.col("event_type")).alias("level")).agg(F.count("*").alias("n"))
+    lines = t(spark, d, "events").select(F.concat(F.expr(_LINE), F.col("event_id").cast("string")).alias("line"))
+    return lines.where(jobs.shown_log(F.col("line"))).groupBy(jobs.log_level(F.col("line")).alias("level")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT {_LINE} || user_id AS line, min(event_id) AS first_at FROM events GROUP BY 1")
+def merged_logs(spark, d):
+    lines = t(spark, d, "events").select(F.concat(F.expr(_LINE), F.col("user_id").cast("string")).alias("line"), "event_id")
+    return jobs.merged_logs(lines, "line", F.col("event_id"))
 
 
 @query("""WITH o AS (SELECT o_custkey, o_orderkey AS idx, o_custkey * 7 AS cur FROM orders WHERE o_orderstatus = 'P')
@@ -194,18 +212,14 @@ def interrupt_machine(spark, d):
     return jobs.interruptions(t(spark, d, "events"), "user_id", F.expr(_EVENT), ["ts", "event_id"]).select("event_id", "hard_interrupts", "state")
 
 
-@query("""WITH e AS (SELECT *, lag(event_type) OVER w AS p, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT event_id, user_id FROM e WHERE NOT coalesce(p = event_type AND gap < 3600000000, false)""")
+@query("""WITH e AS (SELECT *, lag(event_type) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(CASE WHEN p = event_type THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e),
+l AS (SELECT user_id, run, list(struct_pack(us := epoch_us(ts), id := event_id) ORDER BY ts, event_id) AS x FROM r GROUP BY user_id, run),
+s AS (SELECT user_id, unnest(list_reduce(list_transform(x, lambda v: [v]), lambda a, b: CASE WHEN b[1].us - a[len(a)].us >= 172800000000 THEN list_concat(a, b) ELSE a END)) AS v FROM l)
+SELECT v.id AS event_id, user_id FROM s""")
 def progress_throttled(spark, d):
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return jobs.throttled(t(spark, d, "events"), "user_id", us, "event_type", ["ts", "event_id"], 3_600_000_000).select("event_id", "user_id")
-
-
-@query("""WITH l AS (SELECT o_custkey, list(o_orderstatus = 'P' ORDER BY o_orderkey) AS hits FROM orders GROUP BY o_custkey)
-SELECT o_custkey, CAST(list_reduce(list_transform(hits, lambda h: CASE WHEN h THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), lambda m, h: CASE WHEN h = 1 THEN least(m * 2, 10) ELSE greatest(m / 2, 1) END, 1.0::DOUBLE) AS DOUBLE) AS multiplier FROM l""")
-def throttle_simulation(spark, d):
-    hits = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", (F.col("o_orderstatus") == "P").alias("hit")))), lambda r: r["hit"])
-    return t(spark, d, "orders").groupBy("o_custkey").agg(hits.alias("hits")).select("o_custkey", jobs.backoff(F.col("hits")).alias("multiplier"))
+    return jobs.throttled(t(spark, d, "events"), "user_id", us, "event_type", ["ts", "event_id"], 172_800_000_000).select("event_id", "user_id")
 
 
 @query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 30")

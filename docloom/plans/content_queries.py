@@ -49,10 +49,28 @@ def sheet_csv(spark, d):
     return sheets.sheet_text(sheets.row_texts(_grid(spark, d), "sheet", "r", "c", sheets.csv_cell(F.col("v")), ","), "sheet", "r")
 
 
-@query(f"WITH {_GRID}, l AS (SELECT sheet, r, '| ' || string_agg(v, ' | ' ORDER BY c) || ' |' AS line FROM grid GROUP BY sheet, r) SELECT sheet, string_agg(line, chr(10) ORDER BY r) AS text FROM l GROUP BY sheet")
+_MARKDOWN = f"""WITH {_GRID}, l AS (SELECT sheet, r, '| ' || string_agg(replace(replace(v, '|', chr(92) || '|'), chr(10), ' '), ' | ' ORDER BY c) || ' |'
+ || CASE WHEN r = 0 THEN chr(10) || '| ' || string_agg('---', ' | ') || ' |' ELSE '' END AS line FROM grid GROUP BY sheet, r), texts AS (SELECT sheet, string_agg(line, chr(10) ORDER BY r) AS text FROM l GROUP BY sheet)"""
+
+
+@query(f"{_MARKDOWN} SELECT sheet, text FROM texts")
 def sheet_markdown(spark, d):
-    lines = sheets.row_texts(_grid(spark, d), "sheet", "r", "c", tx.markdown_cell(F.col("v")), " | ")
-    return sheets.sheet_text(lines.withColumn("line", F.concat(F.lit("| "), "line", F.lit(" |"))), "sheet", "r")
+    return sheets.sheet_text(sheets.markdown_lines(_grid(spark, d), "sheet", "r", "c", "v"), "sheet", "r")
+
+
+@query(f"""{_MARKDOWN}, books AS (SELECT sheet // 3 AS book, count(*) AS n, any_value(text) AS one, string_agg('## Sheet' || sheet || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY sheet) AS many FROM texts GROUP BY 1)
+SELECT CAST(book AS BIGINT) AS book, CASE WHEN n = 1 THEN one ELSE many END AS text FROM books""")
+def workbook_markdown(spark, d):
+    texts = sheet_markdown(spark, d).withColumn("book", F.floor(F.col("sheet") / 3))
+    return sheets.joined_sheets(texts, "book", F.concat(F.lit("Sheet"), F.col("sheet").cast("string")), "sheet", "## ", "\n\n")
+
+
+@query(f"""WITH {_GRID}, l AS (SELECT sheet, r, string_agg(v, ',' ORDER BY c) AS line FROM grid GROUP BY sheet, r), texts AS (SELECT sheet, string_agg(line, chr(10) ORDER BY r) AS text FROM l GROUP BY sheet),
+books AS (SELECT sheet // 3 AS book, count(*) AS n, any_value(text) AS one, string_agg('--- Sheet' || sheet || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY sheet) AS many FROM texts GROUP BY 1)
+SELECT CAST(book AS BIGINT) AS book, CASE WHEN n = 1 THEN one ELSE many END AS text FROM books""")
+def workbook_csv(spark, d):
+    texts = sheet_csv(spark, d).withColumn("book", F.floor(F.col("sheet") / 3))
+    return sheets.joined_sheets(texts, "book", F.concat(F.lit("Sheet"), F.col("sheet").cast("string")), "sheet", "--- ", " ---\n")
 
 
 @query(f"WITH {_GRID}, l AS (SELECT sheet, r, '<tr>' || string_agg('<td>' || v || '</td>', '' ORDER BY c) || '</tr>' AS line FROM grid GROUP BY sheet, r) SELECT sheet, '<table>' || string_agg(line, '' ORDER BY r) || '</table>' AS text FROM l GROUP BY sheet")

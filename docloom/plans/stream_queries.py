@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from docloom.checkpoints import fresh_folder
 from docloom.streaming import jobs
 
 QUERIES: dict = {}
@@ -13,13 +12,18 @@ SQL: dict[str, str] = {"stream_statuses": "SELECT strftime(ts, '%Y-%m-%d') AS da
 
 
 def stream_statuses(spark, d):
-    """Complete mode, so that the last window is there too."""
+    """Complete mode, so that the last window is there too; each batch replaces the table before it."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    name = f"statuses_{uuid.uuid4().hex}"
+    folder = fresh_folder(spark, "statuses")
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
-    run = jobs.statuses(source, watermark="40 days").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    counts = jobs.statuses(source, watermark="40 days")
+
+    def replace(batch, _) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/counts")
+
+    run = counts.writeStream.foreachBatch(replace).option("checkpointLocation", f"{folder}/state").outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).select("day", "event_type", F.col("n"))
+    return spark.read.schema(counts.schema).parquet(f"{folder}/counts").select("day", "event_type", F.col("n"))
 
 
 QUERIES["stream_statuses"] = stream_statuses
