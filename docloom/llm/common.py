@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset (tests on one
-    machine) a temporary folder is made and set.
+    ``spark.checkpoint.dir`` is read from the session; only where it is unset and the master is local
+    (tests on one machine) a temporary folder is made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if kept.isDefined():
             base = kept.get()
         else:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = tempfile.mkdtemp(prefix="docloom-")
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/docloom/{name}-{uuid.uuid4().hex}"

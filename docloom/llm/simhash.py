@@ -56,12 +56,12 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """The id and ``fp`` (signed long) of every document."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(text.as_py()) for text in batch.column(1)]
+            fps = [fingerprint(text.as_py(), width) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], [id_col, "fp"])
 
     return docs.select(id_col, text_col).mapInArrow(hashed, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, fp long")
@@ -136,9 +136,9 @@ def links(fps: DataFrame, radius: int = 4, blocks: int = 2) -> DataFrame:
     return dealt.mapInArrow(lambda batches: _links(batches, radius), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, blocks: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 4, blocks: int = 2, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """Per document: its id, ``fp`` and ``component_id``, the smallest id reachable over links."""
-    fps = stored(fingerprints(docs, id_col, text_col), "fingerprints")
+    fps = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
     nodes = stored(fps.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).cast("long").alias("node")), "nodes")
     found = components(links(nodes, radius, blocks))
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))

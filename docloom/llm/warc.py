@@ -210,11 +210,16 @@ class _Content:
         self.held += data
 
 
+#: Headers that are looked up, by their name in lower case.
+_NAMES = {name.lower(): name for name in (*HEADERS.values(), "Content-Length")}
+
+
 def _parse(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-    return {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:]) if k}
+    pairs = ((k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:]) if k)
+    return {_NAMES.get(k.lower(), k): v for k, v in pairs}  # names of headers hold in any case
 
 
 def _plain(file: BufferedReader) -> Iterator[tuple[int, dict[str, str], _Content]]:

@@ -167,6 +167,31 @@ def test_warc_round_trip(spark, compression):
     assert sorted(tuple(r) for r in revisits.collect()) == [("1", "revisit", "2"), ("3", "revisit", "4")]
 
 
+def test_header_names_hold_in_any_case(spark, tmp_path):
+    record = b"WARC/1.1\r\nwarc-type: resource\r\nWARC-RECORD-ID: <urn:x:1>\r\ncontent-length: 3\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "x.warc").write_bytes(record * 2)
+    got = warc.read_warc(spark, str(tmp_path)).where("record_type = 'resource'").collect()
+    assert [(r["record_id"], bytes(r["payload"])) for r in got] == [("<urn:x:1>", b"abc")] * 2
+
+
+def test_packing_takes_the_tightest_bin():
+    """Against a plain search over all open bins, piece by piece."""
+    r = random.Random(3)
+    for _ in range(30):
+        bins, open_bins = packing.Bins(50, 4), []
+        for size, source, cluster in sorted(((r.randrange(1, 51), r.randrange(-1, 4), r.randrange(-1, 6)) for _ in range(120)), reverse=True):
+            able = [(left, b) for b, (left, sources, clusters) in enumerate(open_bins) if left >= size and (source < 0 or source not in sources) and (cluster < 0 or cluster not in clusters)]
+            got = bins.place(size, source, cluster)
+            if able:
+                assert open_bins[got][0] == min(able)[0] and got in [b for _, b in able]
+            else:
+                assert got == len(open_bins)
+                open_bins.append([50, set(), set()])
+            open_bins[got][0] -= size
+            open_bins[got][1].add(source)
+            open_bins[got][2].add(cluster)
+
+
 def test_packing_is_tightest_without_conflicts(spark):
     r = random.Random(1)
     rows = [(i, r.randrange(0, 150), r.choice(["a", "b", "c", None]), r.choice(["x", None, f"t{i}"])) for i in range(300)]
