@@ -161,15 +161,14 @@ def encode_long_word(word: Column, ranked: Column, plane: int) -> Column:
     return _bound(folded, lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.ascii(F.substring(s, i, F.lit(1))).cast("long") - plane))
 
 
-#: The broadcast memo that this Python worker has read last, and its words: (ids' text, bytes in hexadecimal).
+#: The broadcast memo that this Python worker has read last, and the places of its words.
 _READ: list = [None, {}]
 
 
-def _words_of(shared) -> dict[str, tuple[str, str]]:
-    """A memo as a dictionary, made once a worker and not once a task."""
+def _words_of(shared) -> dict[str, int]:
+    """Places of a memo's words, listed once a worker and not once a task."""
     if shared is not None and _READ[0] is not shared:
-        words, text, spelled = (c.to_pylist() for c in shared.value.columns)
-        _READ[:] = [shared, dict(zip(words, zip(text, spelled)))]
+        _READ[:] = [shared, {word.as_py(): k for k, word in enumerate(shared.value.column("word"))}]
     return _READ[1] if shared is not None else {}
 
 
@@ -209,6 +208,10 @@ def word_blocks(docs: DataFrame, id_col: str, text_col: str, pattern: str, block
         def listed(values: list, kind: pa.DataType) -> pa.ListArray:
             return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
+        def memo(name: str, at: list[int]) -> pa.ListArray:
+            found = shared.value.column(name).combine_chunks().take(pa.array(at, pa.int64())) if at else pa.array([], pa.string())
+            return pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), found)
+
         def block() -> pa.RecordBatch:
             memoed, fold, lengthy = places.kinds
             code = np.frombuffer(at, np.int32) if len(at) else np.zeros(0, np.int32)
@@ -221,7 +224,7 @@ def word_blocks(docs: DataFrame, id_col: str, text_col: str, pattern: str, block
             words = pa.ListArray.from_arrays(pa.array(np.r_[0, stops].astype(np.int32)), pa.array(raw))
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), rows), listed([t for t, _ in memoed], pa.string()), listed([h for _, h in memoed], pa.string()),
+                    pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), rows), memo("text", memoed), memo("hex", memoed),
                     pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), listed([{"bytes": w, "symbols": spell(w), "letters": spell(sorted(set(w)))} for w in lengthy], pa.struct([("bytes", pa.binary()), ("symbols", pa.string()), ("letters", pa.string())])),
                 ],
                 ["docs", "known_text", "known_hex", "words", "long"],
@@ -244,7 +247,7 @@ def word_blocks(docs: DataFrame, id_col: str, text_col: str, pattern: str, block
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(blocks, schema)
 
 
-def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", most: int = 393_216, sample_chars: int = 64_000_000) -> DataFrame:
+def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", most: int = 262_144, sample_chars: int = 64_000_000) -> DataFrame:
     """``word``: pre-tokens that occur at least twice in a sample of about ``sample_chars`` characters, the
     most frequent ones, ``most`` at most and none of over SHARED_BYTES."""
     from .lm import most_frequent
@@ -264,7 +267,7 @@ def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", most:
         for batch in batches:
             for text in batch.column(0):
                 found.update(find(text.as_py() or ""))
-                if len(found) > 400_000:
+                if len(found) > 150_000:
                     yield rows()
                     found = Counter()
         yield rows()
@@ -273,7 +276,7 @@ def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", most:
     return most_frequent(counts.where("n > 1"), most)
 
 
-def known_words(docs: DataFrame, merges: Merges, pattern: str, text_col: str = "text", most: int = 393_216, sample_chars: int = 64_000_000) -> pa.Table:
+def known_words(docs: DataFrame, merges: Merges, pattern: str, text_col: str = "text", most: int = 262_144, sample_chars: int = 64_000_000) -> pa.Table:
     """``word``, ``text`` and ``hex`` of the shared words: encoded by the fold, or tokens that it doesn't give."""
     plain = [(t.decode(), str(r), t.hex()) for t, r in merges.unmade.items() if _is_text(t)]
     fixed = pa.table({name: pa.array([x[i] for x in plain], pa.string()) for i, name in enumerate(("word", "text", "hex"))})
@@ -291,7 +294,7 @@ def _is_text(token: bytes) -> bool:
         return False
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 14_000_000, shared: int = 0) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 12_000_000, shared: int = 0) -> DataFrame:
     """One row per document: its id, ``ids`` array<int> and ``decoded`` binary."""
     merges = Merges(ranks)
     known = known_words(docs, merges, pattern, text_col, shared)
@@ -303,7 +306,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     return _per_doc(docs, merges, pattern, id_col, text_col, block_bytes, known, result)
 
 
-def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 14_000_000, shared: int = 393_216) -> DataFrame:
+def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 12_000_000, shared: int = 262_144) -> DataFrame:
     """One row per document: its id, ``n_tokens``, and SHA-256 of the ids' text and of the decoded bytes."""
     merges = Merges(ranks)
     known = known_words(docs, merges, pattern, text_col, shared)
