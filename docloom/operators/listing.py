@@ -20,7 +20,8 @@ def toc_paths(toc: DataFrame) -> DataFrame:
     """
     none = F.array().cast("array<string>")
     latest = toc.groupBy("uuid").agg(F.max_by(F.struct("parent_uuid", "type", "title"), "ord").alias("r")).select("uuid", "r.*")
-    nodes = latest.withColumn("title", tx.sanitize_segment(F.coalesce("title", F.lit(""))))
+    given = F.trim(F.coalesce("title", F.lit("")))
+    nodes = latest.withColumn("title", tx.sanitize_segment(F.when(given == "", "").otherwise(F.col("title"))))
     counts = nodes["type"].isin("TITLE", "DOC") & (F.col("title") != "")
     at = held(nodes.select("uuid", F.col("parent_uuid").alias("up"), none.alias("above"), F.when(counts, F.array("title")).otherwise(none).alias("own")))
     rows, distance = at.count(), 1
