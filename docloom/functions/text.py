@@ -146,3 +146,16 @@ def image_extension(url: Column) -> Column:
     """The first extension before a query or the end, if it is one of images; else png."""
     ext = F.lower(F.regexp_extract(url, r"\.([A-Za-z0-9]+)(?:\?|$)", 1))
     return F.when(ext.isin("png", "jpg", "jpeg", "gif", "webp", "svg", "bmp"), ext).otherwise(F.lit("png"))
+
+
+def strip_tags(column: Column) -> Column:
+    """Text of a shape's HTML: no tags, four named entities decoded, other decimal references and zero-width spaces dropped."""
+    out = F.regexp_replace(column, r"<[^>]+>", "")
+    out = reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), ENTITIES[:4], out)
+    return F.regexp_replace(out, r"&#x200B;|&#\d+;|\x{200B}", "")
+
+
+def accepted_types(message: Column) -> Column:
+    """Formats that a refusal lists between its two fixed phrases; an empty array where it lists none."""
+    listed = F.regexp_extract(F.coalesce(message, F.lit("")), r"要求是\s*(.+?)\s*其中", 1)
+    return F.filter(F.transform(F.split(listed, r"[,，]\s*"), F.trim), lambda s: s != "")

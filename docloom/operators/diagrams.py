@@ -20,9 +20,9 @@ def lines(rows: DataFrame, keys: list[str], order: list[str], line: Column, name
 
 
 def flow_edges(events: DataFrame, key: str, node: str, order: list[str]) -> DataFrame:
-    """Transitions between successive nodes of a key, counted, with their line of a flowchart."""
+    """Transitions between successive nodes of a key, counted, with their line of a flowchart; none from a node to itself."""
     after = F.lead(node).over(Window.partitionBy(key).orderBy(*order))
-    counts = events.select(F.col(node).alias("source"), after.alias("target")).where("target is not null").groupBy("source", "target").agg(F.count("*").alias("n"))
+    counts = events.select(F.col(node).alias("source"), after.alias("target")).where("target <> source").groupBy("source", "target").agg(F.count("*").alias("n"))
     return counts.withColumn("line", F.concat("source", F.lit(" -->|"), F.col("n").cast("string"), F.lit("| "), "target"))
 
 

@@ -235,13 +235,13 @@ def kind_cascade(spark, d):
     return f.select("user_id", diagrams.first_rule(rules, "browser").alias("kind"))
 
 
-@query("""WITH e AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), c AS (SELECT a AS source, b AS target, count(*) AS n FROM e WHERE b IS NOT NULL GROUP BY a, b)
+@query("""WITH e AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), c AS (SELECT a AS source, b AS target, count(*) AS n FROM e WHERE a <> b GROUP BY a, b)
 SELECT source, target, n, source || ' -->|' || n || '| ' || target AS line FROM c""")
 def flow_edges(spark, d):
     return diagrams.flow_edges(t(spark, d, "events"), "user_id", "event_type", ["ts", "event_id"])
 
 
-@query("""WITH e AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), c AS (SELECT a || ' -->|' || count(*) || '| ' || b AS line, a, b FROM e WHERE b IS NOT NULL GROUP BY a, b)
+@query("""WITH e AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), c AS (SELECT a || ' -->|' || count(*) || '| ' || b AS line, a, b FROM e WHERE a <> b GROUP BY a, b)
 SELECT 'flowchart TD' || chr(10) || string_agg('  ' || line, chr(10) ORDER BY a, b) AS text FROM c""")
 def flowchart_text(spark, d):
     return diagrams.flowchart(diagrams.flow_edges(t(spark, d, "events"), "user_id", "event_type", ["ts", "event_id"]))

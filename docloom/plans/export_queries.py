@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.operators import files, jobs
+from docloom.functions import text as tx
+from docloom.operators import files, geometry, jobs
 
 from .catalog_queries import t
 
@@ -165,3 +166,34 @@ def first_four_by_place(spark, d):
 
     place = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_size", "p_retailprice", "p_partkey"))
     return t(spark, d, "part").select("p_brand", "p_partkey", place.cast("long").alias("place")).where("place <= 4")
+
+
+@query("""WITH p AS (SELECT c_custkey, c_nationkey AS k, CAST(round(c_acctbal) AS BIGINT) AS x FROM customer), l AS (SELECT s_nationkey AS k, CAST(round(s_acctbal) AS BIGINT) AS lx, s_name, s_suppkey FROM supplier)
+SELECT c_custkey, coalesce(s_name, '') AS label FROM (SELECT c_custkey, s_name, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(x - lx), s_suppkey) AS rn FROM p LEFT JOIN l ON p.k = l.k) WHERE rn = 1""")
+def nearest_stage(spark, d):
+    points = t(spark, d, "customer").select(F.col("c_nationkey").alias("k"), "c_custkey", F.round("c_acctbal").cast("long").alias("x"))
+    labels = t(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.round("s_acctbal").cast("long").alias("x"), F.col("s_name").alias("text"), F.col("s_suppkey").alias("ord"))
+    return geometry.nearest_labels(points, labels, "k", "c_custkey")
+
+
+@query("""WITH e AS (SELECT user_id % 40 AS k, event_type || event_id % 3 AS text, event_id AS ord, CAST(round(value * 10) AS BIGINT) AS x FROM events WHERE value IS NOT NULL),
+s AS (SELECT *, count(*) OVER (PARTITION BY k) AS n, row_number() OVER (PARTITION BY k ORDER BY x, ord) AS rn, x - lag(x) OVER (PARTITION BY k ORDER BY x, ord) AS gap FROM e),
+d AS (SELECT k, count(*) FILTER (c > 1) AS again FROM (SELECT k, text, count(*) AS c FROM e GROUP BY k, text) GROUP BY k),
+g AS (SELECT k, rn AS cut, gap AS widest FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY gap DESC NULLS LAST, rn) = 1),
+r AS (SELECT s.k, s.ord, n, CASE WHEN n < 10 OR again < 3 THEN 0 WHEN n % 2 = 0 THEN CAST(rn > n / 2 AS INT) WHEN widest < 120 THEN 0 ELSE CAST(rn >= cut AS INT) END AS grp FROM s JOIN d ON s.k = d.k JOIN g ON s.k = g.k)
+SELECT k, ord, grp FROM (SELECT *, count(*) OVER (PARTITION BY k, grp) AS size FROM r) WHERE n < 10 OR size >= 3""")
+def label_groups(spark, d):
+    rows = t(spark, d, "events").where("value is not null").select((F.col("user_id") % 40).alias("k"), F.concat("event_type", (F.col("event_id") % 3).cast("string")).alias("text"), F.col("event_id").alias("ord"), F.round(F.col("value") * 10).cast("long").alias("x"))
+    return geometry.split_labels(rows, "k").select("k", "ord", "grp")
+
+
+@query("""SELECT page_id, regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&#x200B;|&#[0-9]+;|' || chr(8203), '', 'g') AS text FROM pages""")
+def shape_texts(spark, d):
+    return t(spark, d, "pages").select("page_id", tx.strip_tags(F.col("html")).alias("text"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'md|' || lower(o_orderstatus) WHEN 1 THEN 'word' ELSE '' END AS types FROM orders""")
+def refused_types(spark, d):
+    low = F.lower("o_orderstatus")
+    message = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("要求是 md, "), low, F.lit(" 其中的一个"))).when(F.col("o_orderkey") % 3 == 1, F.lit("要求是word，其中的一个"))
+    return t(spark, d, "orders").select("o_orderkey", F.array_join(tx.accepted_types(message), "|").alias("types"))
