@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, covertree, langid, lm, packing, quality, similar, simhash, token_counts, warc
+from . import ann, bpe, codes, covertree, langid, lm, packing, quality, resampling, similar, simhash, token_counts, warc, windows
 from .common import bucket_of, shared_dir, stored, table
 
 #: A word: anything between ASCII white space.
@@ -112,8 +112,20 @@ def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5)
+
+
+def op12_partial_distance_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6)
+
+
+def op13_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, capacity=2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_byte_bpe, op2_cover_tree_dedup, op3_language_mixture, op4_log_bilinear_score, op5_warc_round_trip, op6_token_counts, op7_best_fit_packing, op8_projection_neighbours, op9_simhash_balls, op10_pu_quality]
+    found = [op1_byte_bpe, op2_cover_tree_dedup, op3_language_mixture, op4_log_bilinear_score, op5_warc_round_trip, op6_token_counts, op7_best_fit_packing, op8_projection_neighbours, op9_simhash_balls, op10_pu_quality, op11_importance_resampling, op12_partial_distance_codes, op13_sum_of_squares_packing]
     return {f.__name__: f for f in found}
 
 
@@ -134,5 +146,60 @@ FROM b
 """
 
 
+#: DuckDB: words of a text, and a feature's bucket, found once: crc32 goes byte by byte through the table of its polynomial.
+OP11_SQL = r"""
+WITH crc AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b)) AS steps),
+texts AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 0, NULL, text FROM benchmark),
+docs AS MATERIALIZED (
+  SELECT r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts),
+features AS MATERIALIZED (
+  SELECT r, unnest(list_transform(range(1, CAST(len(w) AS BIGINT) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS f
+  FROM docs, range(1, 4) g(n)),
+buckets AS MATERIALIZED (
+  SELECT f, xor(list_reduce(list_transform(range(len(x) // 2), lambda k: CAST('0x' || substr(x, 2 * k + 1, 2) AS BIGINT)),
+    lambda c, b: xor(c // 256, steps[xor(c % 256, b) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f, hex(encode(f)) AS x FROM features) d, crc),
+found AS MATERIALIZED (SELECT r, bucket, count(*) AS n FROM features JOIN buckets USING (f) GROUP BY r, bucket),
+counts AS (SELECT bucket, CAST(sum(n) FILTER (r > 0) AS DOUBLE) AS s, CAST(sum(n) FILTER (r = 0) AS DOUBLE) AS t FROM found GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM counts),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * (all_s + 10000) / ((coalesce(s, 0) + 1) * (all_t + 10000)))) AS BIGINT) AS gain
+  FROM counts, totals),
+weights AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM found JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, len(w) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256(concat('42:', doc_id)), 1, 8) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+  FROM docs LEFT JOIN weights USING (r) WHERE r > 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY able) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 5 * n // 100 THEN place END AS rank FROM placed
+"""
+
+
+def op12_sql(rounds: int = 6) -> str:
+    """DuckDB: a round is one assignment of all parts by the least (distance, entry) and new means."""
+    assigned = """(SELECT vec_id, label, p, v, min(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 16 + e) AS k
+      FROM parts JOIN book{0} USING (p) GROUP BY ALL)"""
+    book = """book{1} AS MATERIALIZED (
+      SELECT p, e, coalesce(m, c) AS c FROM book{0} LEFT JOIN (
+        SELECT p, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY j) AS m FROM (
+          SELECT p, k % 16 AS e, j, sum(v[j]) AS s, count(*) AS n FROM """ + assigned + """ a, range(1, 9) g(j) GROUP BY ALL) t
+        GROUP BY p, e) u USING (p, e))"""
+    return f"""
+    WITH whole AS (
+      SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    parts AS MATERIALIZED (SELECT vec_id, label, CAST(p AS BIGINT) AS p, v[8 * p + 1 : 8 * p + 8] AS v FROM whole, range(8) g(p)),
+    book0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v AS c FROM parts QUALIFY e < 16),
+    {", ".join(book.format(k, k + 1) for k in range(rounds))},
+    final AS (
+      SELECT vec_id, label, string_agg(lower(lpad(hex(CAST(k % 16 AS BIGINT)), 2, '0')), '' ORDER BY p) AS code, CAST(sum(k // 16) AS BIGINT) AS error
+      FROM {assigned.format(rounds)} a GROUP BY vec_id, label),
+    digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM final, digest
+    """
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_round_trip": OP5_SQL}
+    return {"op5_warc_round_trip": OP5_SQL, "op11_importance_resampling": OP11_SQL, "op12_partial_distance_codes": op12_sql()}
