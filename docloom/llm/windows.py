@@ -12,8 +12,9 @@ together, are closed: the fullest take tokens from the ends of the emptiest unti
 the one that remains, if any, is cut at its largest powers of two, lengths that take no padding. So a task
 holds ``pending`` tokens and one block of texts at most, and no window is padded.
 
-Ids come from the tokenizer library. Between two characters that are not white space, a single space always starts a
-new piece of the byte-level pre-tokenizer, so texts are split there and each distinct part is encoded once, kept in a memo of bounded size.
+Ids are those of the tokenizer file. Where its merges number their tokens in turn, as byte-level vocabularies do, ranks are
+read from it for a faster library of the same merges; a text that this library refuses (white space runs of
+millions) and any other file go to the tokenizer library itself.
 
 Defined results: null and empty texts are one token (the end); special strings inside texts are the
 library's special ids; rows without an id and repeated rows are documents of their own; texts of any length are
@@ -22,53 +23,71 @@ packed whole; an empty table gives no rows; further columns are not read. Window
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A single space between two characters that are not white space.
-PARTS = re.compile(r" (?<=\S )(?=\S)")
-#: Characters of text that are encoded together.
+from .token_counts import WORDS, byte_symbols
+
+#: Characters of text that are encoded together by the tokenizer library.
 BLOCK = 1 << 22
 
 
-class Encoder(dict):
-    """Little-endian 32-bit ids of each part seen; emptied once it holds ``most`` parts. A part's key lacks the space before it."""
+class Encoder:
+    """Packed little-endian 32-bit ids of texts, as the tokenizer library gives them for the file at ``path``."""
 
-    def __init__(self, path: str, most: int):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.path, self.slow = path, None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.fast = self._ranked(spec)
+
+    @staticmethod
+    def _ranked(spec: dict) -> tiktoken.Encoding | None:
+        """The same vocabulary by ranks, if ids follow the merges and nothing but the byte-level pattern splits texts."""
+        model, before = spec["model"], spec["pre_tokenizer"] or {}
+        options = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix")
+        if model["type"] != "BPE" or spec["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            return None
+        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        vocab = {t: i for t, i in model["vocab"].items() if t not in added}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        in_turn = all(vocab.get(a + b) == 256 + k for k, (a, b) in enumerate(pairs))
+        if not in_turn or len(vocab) != 256 + len(pairs) or any(model.get(o) for o in options) or any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
+            return None
+        byte = {c: b for b, c in enumerate(byte_symbols())}
+        return tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks={bytes(byte[c] for c in t): i for t, i in vocab.items()}, special_tokens=added)
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """The packed ids of each text."""
-        split = [PARTS.split(t) for t in texts]
-        firsts = self._encoded([p[0] for p in split])
-        unknown = [p for p in set(chain.from_iterable(p[1:] for p in split)) if p not in self]
-        if len(self) + len(unknown) > self.most:
-            self.clear()
-            unknown = list(set(chain.from_iterable(p[1:] for p in split)))
-        self.update(zip(unknown, self._encoded([" " + p for p in unknown])))
-        return (first + b"".join(map(self.__getitem__, p[1:])) for first, p in zip(firsts, split))
+        if self.fast is None:
+            for e in self._library().encode_batch_fast(texts, add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
+            return
+        for text in texts:
+            try:
+                yield self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+            except ValueError:
+                yield np.array(self._library().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _library(self):
+        if self.slow is None:
+            from tokenizers import Tokenizer
 
-    def _encoded(self, parts: list[str]) -> list[bytes]:
-        found = []
-        for k in range(0, len(parts), 1024):  # the library's results are large
-            found += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts[k : k + 1024], add_special_tokens=False)]
-        return found
+            self.slow = Tokenizer.from_file(self.path)
+        return self.slow
 
 
-#: Encoders of this Python worker, by path: later tasks of the worker know earlier tasks' parts.
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+#: Encoders of this Python worker, by path.
+_ENCODERS: dict[str, Encoder] = {}
 
 
 class Levels:
@@ -166,7 +185,7 @@ def windows(documents: Iterator[tuple], capacity: int, pending: int) -> Iterator
     yield from levels.closed(cut)
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, pending: int = 1 << 22, memo_parts: int = 600_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, pending: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: its document's id, ``start``, ``length``, ``ids_crc32`` and ``doc_tokens``, ``sequence_id`` and ``offset``."""
     end = np.array([end_id], "<u4").tobytes()
     kind = docs.schema[id_col].dataType.simpleString()
@@ -174,7 +193,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, pend
 
     def documents(batches: Iterator[pa.RecordBatch], seen: list) -> Iterator[tuple]:
         """((id, tokens), packed ids) of each document."""
-        encoder = _ENCODERS.get((path, memo_parts)) or _ENCODERS.setdefault((path, memo_parts), Encoder(path, memo_parts))
+        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
 
         def encoded(ids: list, texts: list[str]) -> Iterator[tuple]:
             for doc, found in zip(ids, encoder.ids(texts)):
