@@ -32,3 +32,11 @@ def held(df: DataFrame) -> DataFrame:
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below the checkpoint folder."""
     return f"{_prepare(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept as a table in the checkpoint folder. Unlike :func:`held` nothing of its plan goes
+    with it: what rounds of joins infer about columns would grow with every round."""
+    path = fresh_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

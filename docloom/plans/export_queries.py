@@ -49,7 +49,7 @@ def status_reset(spark, d):
     return start.join(retry, "o_orderkey")
 
 
-@query("SELECT count_if(NOT event_type = 'click') AS repos, count_if(event_type = 'click') AS bookmarks FROM events")
+@query("SELECT CAST(count_if(NOT event_type = 'click') AS BIGINT) AS repos, CAST(count_if(event_type = 'click') AS BIGINT) AS bookmarks FROM events")
 def repo_counts(spark, d):
     return t(spark, d, "events").agg(F.count_if(F.col("event_type") != "click").alias("repos"), F.count_if(F.col("event_type") == "click").alias("bookmarks"))
 
