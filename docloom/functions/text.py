@@ -32,25 +32,44 @@ def sanitize_ascii(column: Column) -> Column:
     return F.regexp_replace(F.substring(out, 1, MAX_SEGMENT), r"[. ]+$", "")
 
 
+#: White space that becomes an underscore, and what is dropped. Fixed values.
+BLANKS = "[\\t\\n\\v\\f\\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+DROPPED = "[\\x00-\\x1f\\x7f\u200b-\u200d\ufeff]"
+
+
+def _segment(name: str) -> str:
+    """A path segment: compatibility forms are unified first, the length counts UTF-16 units."""
+    out = re.sub(DROPPED, "", unicodedata.normalize("NFKC", name))
+    out = re.sub("_+", "_", re.sub(BLANKS, "_", re.sub(r'[\\/<>:"|?*]', "_", out)))
+    out = out.rstrip(". ").strip().strip(".")
+    out = "_" + out if re.match(RESERVED, out) else out
+    if len(out.encode("utf-16-le")) > 2 * MAX_SEGMENT:
+        out = out.encode("utf-16-le")[: 2 * MAX_SEGMENT].decode("utf-16-le", "ignore").rstrip(". ")
+    return out
+
+
 @F.pandas_udf(T.StringType())
 def sanitize_segment(names: pd.Series) -> pd.Series:
-    """A path segment of any text: compatibility forms are unified first, the length counts UTF-16 units."""
+    """A path segment of any text."""
+    return names.map(lambda name: None if name is None else _segment(name))
+
+
+@F.pandas_udf(T.StringType())
+def _sanitize_path(paths: pd.Series) -> pd.Series:
+    return paths.map(lambda path: None if path is None else "/".join(filter(None, map(_segment, re.split(r"[\\/]+", path)))))
 
-    def clean(name: str | None) -> str | None:
-        if name is None:
-            return None
-        out = "".join(c for c in unicodedata.normalize("NFKC", name) if unicodedata.category(c) != "Cc" and c not in "​‌‍﻿")
-        out = re.sub("_+", "_", re.sub(r"\s+", "_", re.sub(r'[\\/<>:"|?*]', "_", out)))
-        out = out.rstrip(". ").strip().strip(".")
-        out = "_" + out if re.match(RESERVED, out) else out
-        return out.encode("utf-16-le")[: 2 * MAX_SEGMENT].decode("utf-16-le", "ignore").rstrip(". ")
 
-    return names.map(clean)
+def segment(name: Column) -> Column:
+    """A path segment of any text; only texts that aren't ASCII leave the JVM."""
+    other = name.rlike(r"[^\x00-\x7F]")
+    return F.when(other, sanitize_segment(F.when(other, name))).otherwise(sanitize_ascii(name))
 
 
 def sanitize_segments(path: Column) -> Column:
-    """Every segment of a path made safe, empty ones dropped."""
-    return F.concat_ws("/", F.filter(F.transform(F.split(path, r"[\\/]+"), sanitize_ascii), lambda s: s != ""))
+    """Every segment of a path made safe, empty ones dropped; only paths that aren't ASCII leave the JVM."""
+    other = path.rlike(r"[^\x00-\x7F]")
+    plain = F.concat_ws("/", F.filter(F.transform(F.split(path, r"[\\/]+"), sanitize_ascii), lambda s: s != ""))
+    return F.when(other, _sanitize_path(F.when(other, path))).otherwise(plain)
 
 
 def escape_xml(column: Column) -> Column:

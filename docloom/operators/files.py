@@ -39,7 +39,7 @@ def needs_permission(is_bookmark: Column, book_type: Column) -> Column:
 
 def book_folder(kind: Column, name: Column, org: Column, group: Column) -> Column:
     """Folder of a book by its type; names become safe path segments."""
-    safe = tx.sanitize_ascii
+    safe = tx.segment
     inside = safe(F.coalesce(or_else(org), F.lit(SPACES["team"])))
     folder = (
         F.when(kind == "personal", F.lit(f"{SPACES['personal']}/{SPACES['own']}/"))
@@ -54,7 +54,7 @@ def book_folder(kind: Column, name: Column, org: Column, group: Column) -> Colum
 
 def file_path(parts: list[Column], title: Column, extension: Column) -> Column:
     """Relative path of a file: the folders of ``parts`` that there are, and its safe title with the extension."""
-    name = F.coalesce(or_else(tx.sanitize_ascii(F.coalesce(title, F.lit("")))), F.lit(UNTITLED))
+    name = F.coalesce(or_else(tx.segment(F.coalesce(title, F.lit("")))), F.lit(UNTITLED))
     return F.concat_ws("/", *(or_else(tx.sanitize_segments(F.coalesce(p, F.lit("")))) for p in parts), F.concat(name, F.lit("."), extension))
 
 

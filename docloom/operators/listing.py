@@ -13,15 +13,14 @@ def toc_paths(toc: DataFrame) -> DataFrame:
     """``uuid`` and ``path``: the titles of a row's ancestors of type TITLE or DOC as path segments, joined by ``/``.
 
     Each round doubles the distance of a row's pointer, so a depth of d takes log2(d) joins; two rounds
-    are planned at once and held, until no pointer is left. Blank titles add nothing but the climb goes
+    are planned at once and held, until no pointer is left. Empty titles add nothing, blank ones an underscore, and the climb goes
     on; a missing parent ends it. A pointer that is left once its distance exceeds the number of rows
     goes round a cycle: rows on or below one have an empty path. Of rows with equal ``uuid`` the last by
     ``ord`` counts.
     """
     none = F.array().cast("array<string>")
     latest = toc.groupBy("uuid").agg(F.max_by(F.struct("parent_uuid", "type", "title"), "ord").alias("r")).select("uuid", "r.*")
-    given = F.trim(F.coalesce("title", F.lit("")))
-    nodes = latest.withColumn("title", tx.sanitize_segment(F.when(given == "", "").otherwise(F.col("title"))))
+    nodes = latest.withColumn("title", tx.sanitize_segment(F.coalesce("title", F.lit(""))))
     counts = nodes["type"].isin("TITLE", "DOC") & (F.col("title") != "")
     at = held(nodes.select("uuid", F.col("parent_uuid").alias("up"), none.alias("above"), F.when(counts, F.array("title")).otherwise(none).alias("own")))
     rows, distance = at.count(), 1

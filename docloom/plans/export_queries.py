@@ -96,6 +96,26 @@ def export_paths(spark, d):
     return rows.select("p_partkey", files.file_path(parts, F.col("title"), F.lit("md")).alias("file_path"), files.image_path(parts, F.lit("assets/img 1.png")).alias("image_path"), files.display_path([F.col("folder"), F.col("title")]).alias("display_path"))
 
 
+#: Full-width and other compatibility forms, as most titles have them, and what they are unified to.
+_WIDE, _PLAIN = "：？（）＊．／ＡＢｃ　①", ":?()*./ABc 1"
+_WIDE_TITLE = "['问：答？（一）', '第　章', 'ＡＢｃ①', '文档．', '／a／', 'plain'][CAST(p_partkey % 6 + 1 AS BIGINT)]"
+
+
+@query(f"""WITH w AS (SELECT p_partkey, {_WIDE_TITLE} || p_size AS title, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE '卷：' || p_size % 3 || '/附／录//' || p_brand END AS folder FROM part),
+u AS (SELECT p_partkey, translate(title, '{_WIDE}', '{_PLAIN}') AS title, array_to_string(list_transform(string_split(folder, '/'), lambda s: translate(s, '{_WIDE}', '{_PLAIN}')), '|') AS folder FROM w),
+s AS (SELECT p_partkey, regexp_replace(regexp_replace(title, '[/:?*]', '_', 'g'), '[ _]+', '_', 'g') AS title,
+  replace(regexp_replace(replace(regexp_replace(folder, '[/:?*]', '_', 'g'), '||', '|'), '[ _]+', '_', 'g'), '|', '/') AS folder FROM u)
+SELECT p_partkey, '个人空间/我个人的/' || title AS folder, concat_ws('/', nullif(folder, ''), title || '.md') AS file_path, concat_ws('/', nullif(folder, ''), 'assets/图 1.png') AS image_path FROM s""")
+def unified_paths(spark, d):
+    size = F.col("p_size").cast("string")
+    title = F.concat(F.element_at(F.array(*map(F.lit, ("问：答？（一）", "第　章", "ＡＢｃ①", "文档．", "／a／", "plain"))), (F.col("p_partkey") % 6 + 1).cast("int")), size)
+    folder = F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.concat(F.lit("卷："), (F.col("p_size") % 3).cast("string"), F.lit("/附／录//"), "p_brand"))
+    rows = t(spark, d, "part").select("p_partkey", title.alias("title"), folder.alias("path"))
+    none = F.lit(None).cast("string")
+    book = files.book_folder(F.lit("personal"), F.col("title"), none, none)
+    return rows.select("p_partkey", book.alias("folder"), files.file_path([F.col("path")], F.col("title"), F.lit("md")).alias("file_path"), files.image_path([F.col("path")], F.lit("assets/图 1.png")).alias("image_path"))
+
+
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'given/' || c_custkey WHEN c_nationkey = 7 THEN '' WHEN c_custkey % 2 = 0 THEN c_mktsegment || '/b' || c_nationkey ELSE c_name || '/b' || c_nationkey END AS namespace FROM customer""")
 def namespaces(spark, d):
     key = F.col("c_custkey")

@@ -15,7 +15,7 @@ def test_paths_skip_blank_titles_and_survive_cycles(spark):
         [("a", None, "TITLE", "A", 0), ("b", "a", "TITLE", " ", 1), ("c", "b", "DOC", "C", 2), ("d", "gone", "DOC", "D", 3), ("x", "y", "TITLE", "X", 4), ("y", "x", "TITLE", "Y", 5), ("z", "c", "DOC", "Z", 6)],
         "uuid string, parent_uuid string, type string, title string, ord int",
     )
-    assert {r["uuid"]: r["path"] for r in listing.toc_paths(toc).collect()} == {"a": "", "b": "A", "c": "A", "d": "", "x": "", "y": "", "z": "A/C"}
+    assert {r["uuid"]: r["path"] for r in listing.toc_paths(toc).collect()} == {"a": "", "b": "A", "c": "A/_", "d": "", "x": "", "y": "", "z": "A/_/C"}
 
 
 def test_first_wins_takes_the_first_source(spark):
@@ -48,3 +48,12 @@ def test_merged_cells(spark):
     merges = spark.createDataFrame([(1, 0, 0, 2, 2)], "k int, row int, col int, row_count int, col_count int")
     got = {(x["r"], x["c"]): (x["row_span"], x["col_span"]) for x in sheets.covered_cells(cells, merges, "k").collect()}
     assert got[0, 0] == (2, 2) and (1, 1) not in got and got[2, 2] == (1, 1)
+
+
+def test_segments_of_any_text(spark):
+    """Compatibility forms are unified before anything else, for folders, files and paths alike."""
+    cases = {"问：答？（一）": "问_答_(一)", "Ｃｏｎ．txt": "_Con.txt", "a\u200bb\u0085c": "ab\u0085c", "　x　": "_x_", "．．é": "é", "①②": "12", "ﬁn": "fin", "字" * 130: "字" * 120, "😀" * 61: "😀" * 60, "": "", "plain: x": "plain_x"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.s for r in df.select("t", tx.segment(F.col("t")).alias("s")).collect()} == cases
+    assert one(spark, tx.sanitize_segments(F.lit("卷：1//附／录/\\ＡＢ"))) == "卷_1/附_录/AB"
+    assert one(spark, tx.segment(F.lit(None).cast("string"))) is None
