@@ -61,6 +61,7 @@ def tables(folder, empty: bool = False):
     write(folder, "embeddings", {"vec_id": pa.array([*range(len(v)), None], pa.int64()), "embedding": pa.array([*v, x[0].tolist()], pa.list_(pa.float32())), "label": pa.array([None] * (len(v) + 1), pa.int32())}, empty)
     html = [None, "", "<p>a", "<p>a", "<p>a", "é\r\n\r\n" * 9, "<b>" * 100_000, None]
     write(folder, "pages", {"page_id": pa.array(range(10, 10 + len(html)), pa.int64()), "url": pa.array([None, "u\r\nx", *["u"] * (len(html) - 2)]), "html": pa.array(html)}, empty)
+    write(folder, "benchmark", {"item_id": pa.array([1, None], pa.int64()), "text": pa.array(["The old house near the river.", None])}, empty)
     return str(folder)
 
 
