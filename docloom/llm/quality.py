@@ -124,9 +124,15 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = 40, b
     return net
 
 
+#: From so many positives and unlabelled rows on the class prior is estimated; it is a half below.
+LEAST_ROWS = 8
+
+
 def estimate_prior(pos: np.ndarray, unl: np.ndarray, seed: int = 7) -> float:
     """Class prior: the least ratio of the unlabelled to the positive share above a threshold of a
-    first model's output, among thresholds that keep enough positives."""
+    first model's output, among thresholds that keep enough positives; a half under LEAST_ROWS of either."""
+    if min(len(pos), len(unl)) < LEAST_ROWS:
+        return 0.5
     half_p, half_u = len(pos) // 2, len(unl) // 2
     net = fit_nnpu(pos[:half_p], unl[:half_u], 0.5, epochs=10, seed=seed)
     gp, gu = net.forward(pos[half_p:])[1], net.forward(unl[half_u:])[1]
@@ -141,7 +147,7 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray, seed: int = 7) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 12_000, usable: Column | None = None) -> Network | None:
     """Fits on at most ``sample`` positives and as many unlabelled rows among the ``usable`` ones
-    (all, by default); None without positives. The labelled rows also set where the score passes
+    (all, by default); None without positives (``score`` then gives every text 0.5). The labelled rows also set where the score passes
     THRESHOLD: midway between the lowest positives and the highest others, if label 0 occurs."""
     rows = docs if usable is None else docs.where(usable)
     key = docs.schema[id_col].dataType.simpleString()

@@ -243,3 +243,16 @@ def test_most_windows_are_filled_before_closing():
 @pytest.mark.parametrize("name", ["op11_importance_resampling", "op12_partial_distance_codes", "op13_sum_of_squares_packing"])
 def test_empty_tables(spark, empty, name):
     assert queries.queries()[name](spark, empty).collect() == []
+
+
+@pytest.mark.parametrize("positives", [1, 2, 3, 9])
+def test_quality_of_few_positives(spark, positives):
+    """Under eight positives the class prior is a half; from one on every text gets a score."""
+    from docloom.llm import quality
+
+    docs = spark.createDataFrame([(k, f"A quiet text number {k} about the old town.") for k in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(positives)], "doc_id long, quality int")
+    net = quality.train(docs, labels)
+    scores = [r.score for r in quality.score(docs, net).collect()]
+    assert len(scores) == 30 and all(0 <= s <= 1 for s in scores)
+    assert (quality.estimate_prior(np.zeros((positives, 3)), np.zeros((20, 3))) == 0.5) == (positives < quality.LEAST_ROWS)
