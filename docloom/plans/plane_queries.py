@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from docloom.operators import plane, sequences
+from docloom.operators import flow, plane, sequences
 
 from .catalog_queries import t
 
@@ -110,3 +110,19 @@ def reading_order(spark, d):
     key, who = F.col("o_orderkey"), F.col("o_custkey")
     elements = t(spark, d, "orders").select((who % 7).alias("board"), key.alias("id"), (key * 3 % 90).alias("y"), (who % 50).alias("x"))
     return sequences.places(sequences.dealt(elements, ["board", "y", "x", "id"]), "board", "place").select("board", "id", "place")
+
+
+@query("""WITH e AS (SELECT o_custkey % 20 AS board, o_orderkey AS id, CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE o_orderpriority || ' ' || o_custkey % 30 END AS title, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'd"' || o_orderkey END AS detail, o_orderkey * 7 % 1000 AS x, o_orderkey % 50 AS y FROM orders),
+b AS (SELECT * FROM e WHERE title <> '' OR detail <> '' QUALIFY row_number() OVER (PARTITION BY board, coalesce(nullif(title, ''), detail) ORDER BY detail = '', x, y, id) = 1),
+p AS (SELECT *, row_number() OVER (PARTITION BY board ORDER BY x, y, id) AS place FROM b),
+l AS (SELECT c_custkey % 15 AS board, c_custkey AS ord, c_custkey * 13 % 900 + 20 AS lx, '20' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') AS text FROM customer),
+n AS (SELECT p.*, text FROM p LEFT JOIN l USING (board) QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY abs(lx - x - 40), ord) = 1)
+SELECT board, 'timeline' || chr(10) || '  title 时间轴' || string_agg(chr(10) || '  ' || coalesce(text, '阶段 ' || place) || ' : ' || CASE WHEN title = '' THEN '事件 ' || place ELSE title END || CASE WHEN detail = '' THEN '' ELSE chr(10) || '    : ' || replace(detail, '"', chr(92) || '"') END, '' ORDER BY place) AS mermaid
+FROM n GROUP BY board""")
+def board_timelines(spark, d):
+    key, who, mark = F.col("o_orderkey"), F.col("o_custkey"), F.col("c_custkey")
+    title = F.when(key % 17 == 0, "").otherwise(F.concat("o_orderpriority", F.lit(" "), (who % 30).cast("string")))
+    detail = F.when(key % 3 == 0, "").otherwise(F.concat(F.lit('d"'), key.cast("string")))
+    events = t(spark, d, "orders").select((who % 20).alias("board"), key.alias("id"), title.alias("title"), detail.alias("detail"), (key * 7 % 1000).alias("x"), (key % 50).alias("y"), F.lit(80).alias("width"))
+    labels = t(spark, d, "customer").select((mark % 15).alias("board"), mark.alias("ord"), (mark * 13 % 900 + 20).alias("x"), F.concat(F.lit("20"), F.lpad((mark % 100).cast("string"), 2, "0")).alias("text"))
+    return flow.timelines(events, labels, "board", "id")
