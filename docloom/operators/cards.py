@@ -61,6 +61,7 @@ def card(name: Column, data: Column, display: Column | None = None) -> Column:
         .when(name == "codeblock", fence(_get(data, "mode"), _get(data, "code")))
         .when(name == "markdown", _block(_get(data, "markdown")))
         .when(name == "math", tx.markdown_math(_get(data, "code"), display if display is not None else F.lit(False)))
+        # names of cards: fixed values of the format
         .when(name.isin("bookmarklink", "bookmarkInline"), tx.markdown_link(_or(_get(data, "detail.title", "text"), src), src))
         .when(name == "yuqueinline", tx.markdown_link(_or(_get(data, "detail.title", "name"), src), src))
         .when(name == "localdoc", tx.markdown_link(_or(_get(data, "name"), F.lit("附件")), src))

@@ -14,6 +14,7 @@ UNTITLED = "未命名文档"
 SPACES = {"personal": "个人空间", "own": "我个人的", "collab": "邀请协作的", "public": "公共区", "team": "团队空间", "group": "团队"}
 #: First segments of addresses that are no documents. Fixed values.
 RESERVED_PATHS = r"(?i)^/(dashboard|settings|explore|notifications|search|login|register|account|new)"
+#: What relative addresses in documents start from. Fixed value of the format.
 HOME = "https://www.yuque.com"
 
 
