@@ -202,8 +202,8 @@ def lane_assign(spark, d):
 @query("""WITH e AS (SELECT user_id, event_id, abs(epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS step FROM events)
 SELECT user_id, CAST(round(sum(coalesce(step, 0))) AS BIGINT) AS length FROM e GROUP BY user_id""")
 def arc_length(spark, d):
-    secs = F.unix_millis(F.col("ts").cast("timestamp")) / 1000
-    return geometry.arc_lengths(t(spark, d, "events"), "user_id", secs, F.lit(0.0), ["ts", "event_id"]).groupBy("user_id").agg(F.round(F.sum("step")).cast("long").alias("length"))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))  # whole microseconds add up exactly in any order
+    return geometry.arc_lengths(t(spark, d, "events"), "user_id", us, F.lit(0), ["ts", "event_id"]).groupBy("user_id").agg(F.round(F.sum("step") / 1_000_000).cast("long").alias("length"))
 
 
 @query("""WITH e AS (SELECT event_id, user_id, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 43200000000 THEN 1 ELSE 0 END AS new, ts FROM events)
