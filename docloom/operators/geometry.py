@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators import plane
+
 
 def bbox(rows: DataFrame, keys: list[str], x: Column, y: Column, width: Column | None = None, height: Column | None = None) -> DataFrame:
     right, bottom = x + (width if width is not None else 0), y + (height if height is not None else 0)
@@ -12,18 +14,14 @@ def bbox(rows: DataFrame, keys: list[str], x: Column, y: Column, width: Column |
 
 
 def nearest(points: DataFrame, nodes: DataFrame, pid: str, nid: str, limit: float, k: int = 1) -> DataFrame:
-    """The ``k`` nodes (x, y) nearest to each point within ``limit``. Both are dealt to square cells of
-    that size; a node is listed in the nine cells around it, so near pairs meet by equality."""
-    cell = lambda c: F.floor(F.col(c) / limit)
-    near = F.array(*[F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    n = nodes.select(F.col(nid), F.col("x").alias("nx"), F.col("y").alias("ny"), F.explode(near).alias("c")).select(nid, "nx", "ny", "c.*")
-    p = points.select(F.col(pid), "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
-    d2 = (F.col("x") - F.col("nx")) ** 2 + (F.col("y") - F.col("ny")) ** 2
-    pairs = p.join(n, ["cx", "cy"]).withColumn("d2", d2).where(F.col("d2") < limit * limit)
+    """The ``k`` nodes (x, y) nearest to each point within ``limit``, of equally near ones those of the least ``nid``; cells are
+    as small as nodes are dense (:func:`docloom.operators.plane.nearest_within`)."""
+    near = plane.nearest_within(points, nodes, [], pid, nid, (limit, limit), lambda dx, dy: dx**2 + dy**2, nid, k=k)
+    near = near.where(F.col("distance") < limit * limit).withColumnRenamed("distance", "d2")
     if k == 1:
-        return pairs.groupBy(pid).agg(F.min(F.struct("d2", nid)).alias("m")).select(pid, F.col(f"m.{nid}").alias(nid), F.col("m.d2").alias("d2"))
+        return near.groupBy(pid).agg(F.min(F.struct("d2", nid)).alias("m")).select(pid, F.col(f"m.{nid}").alias(nid), F.col("m.d2").alias("d2"))
     rank = F.row_number().over(Window.partitionBy(pid).orderBy("d2", nid))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(pid, nid, "d2", "rank")
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select(pid, nid, "d2", "rank")
 
 
 def lanes(rows: DataFrame, ratio: Column, widths: list[float]) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from docloom.operators import geometry
+from docloom.operators import plane
 from docloom.plans import content_queries
 
 
@@ -15,3 +15,23 @@ def test_arc_lengths_count_microseconds(spark, tmp_path):
     rows = [(k, start + dt.timedelta(microseconds=us), 7) for k, us in enumerate((0, 499_001, 999_001, 1_499_900))]
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long").write.parquet(f"{tmp_path}/events.parquet")
     assert [tuple(r) for r in content_queries.arc_length(spark, str(tmp_path)).collect()] == [(7, 1)]
+
+
+def _crowd(spark, n):
+    """n rows on 40 spots of one cell, n on 40 others: to try all pairs would be n * n."""
+    spot = lambda seed: F.array(*[F.struct(F.lit(float(random.Random(seed * 99 + k).randrange(100))).alias("x"), F.lit(float(random.Random(seed * 77 + k).randrange(100))).alias("y")) for k in range(40)])
+    make = lambda seed, name: spark.range(n).select(F.col("id").alias(name), spot(seed)[(F.col("id") % 40).cast("int")].alias("s"), F.lit(1).alias("board")).select("board", name, "s.*")
+    return make(1, "pid"), make(2, "nid")
+
+
+def _brute(points, nodes, k, metric):
+    """By spots, each node spot with its k least ids."""
+    ps, ns = ({(r.x, r.y): r.ids for r in df.groupBy("x", "y").agg(F.array_sort(F.collect_set(c)).alias("ids")).collect()} for df, c in ((points, "pid"), (nodes, "nid")))
+    near = {p: sorted((metric(abs(p[0] - q[0]), abs(p[1] - q[1])), i) for q, ids in ns.items() for i in ids[:k])[:k] for p in ps}
+    return {(pid, i, d) for p, ids in ps.items() for pid in ids for d, i in near[p]}
+
+
+def test_nearest_on_crowded_spots(spark):
+    points, nodes = _crowd(spark, 60_000)
+    found = plane.nearest_within(points, nodes, ["board"], "pid", "nid", (240.0, 260.0), lambda dx, dy: 1.4 * dx + dy, "nid")
+    assert {(r.pid, r.nid, round(r.distance, 6)) for r in found.collect()} == {(p, n, round(d, 6)) for p, n, d in _brute(points, nodes, 1, lambda dx, dy: 1.4 * dx + dy)}
