@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from docloom.operators import plane
+from docloom.operators import geometry, plane
 from docloom.plans import content_queries
 
 
@@ -35,3 +35,10 @@ def test_nearest_on_crowded_spots(spark):
     points, nodes = _crowd(spark, 60_000)
     found = plane.nearest_within(points, nodes, ["board"], "pid", "nid", (240.0, 260.0), lambda dx, dy: 1.4 * dx + dy, "nid")
     assert {(r.pid, r.nid, round(r.distance, 6)) for r in found.collect()} == {(p, n, round(d, 6)) for p, n, d in _brute(points, nodes, 1, lambda dx, dy: 1.4 * dx + dy)}
+
+
+def test_topk_nearby_on_crowded_spots(spark):
+    points, nodes = _crowd(spark, 60_000)
+    found = geometry.nearest(points, nodes, "pid", "nid", 220, k=4).collect()
+    assert len(found) == 240_000 and {(r.pid, r.nid, r.d2) for r in found} == _brute(points, nodes, 4, lambda dx, dy: dx * dx + dy * dy)
+    assert {r["rank"] for r in found} == {1, 2, 3, 4}
