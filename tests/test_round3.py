@@ -42,3 +42,9 @@ def test_topk_nearby_on_crowded_spots(spark):
     found = geometry.nearest(points, nodes, "pid", "nid", 220, k=4).collect()
     assert len(found) == 240_000 and {(r.pid, r.nid, r.d2) for r in found} == _brute(points, nodes, 4, lambda dx, dy: dx * dx + dy * dy)
     assert {r["rank"] for r in found} == {1, 2, 3, 4}
+
+
+def test_nearest_node_on_crowded_spots(spark):
+    points, nodes = _crowd(spark, 60_000)
+    found = geometry.nearest(points, nodes, "pid", "nid", 160).collect()
+    assert {(r.pid, r.nid, r.d2) for r in found} == _brute(points, nodes, 1, lambda dx, dy: dx * dx + dy * dy)
