@@ -33,6 +33,12 @@ def _given(*texts: Column) -> Column:
     return F.coalesce(*[F.nullif(t, F.lit("")) for t in texts])
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """For a join of rows that grow with the tables: like columns and views are small in a file and large in memory, so what
+    a file's size says of them must not send them to the driver."""
+    return rows.hint("merge")
+
+
 def tables(rows: DataFrame, key: str, content: Column, export_all: Column | None = None) -> DataFrame:
     """``key``, ``sheet``, ``content``, the active ``view`` (null without one), its ``kind`` (GRID by default) and the ``columns`` shown, in the view's order.
 
@@ -65,10 +71,10 @@ def table_records(found: DataFrame, key: str) -> DataFrame:
     given = written(given.select(key, "_pos", _get(F.col("_r"), "uuid").alias("uuid"), data.alias("data"), *[_get(F.col("_r"), c).alias(c) for c in ("created_at", "updated_at")]))
     placed = found.select(key, F.posexplode(_list(F.col("view"), "rows")).alias("_place", "_row")).select(key, _get(F.col("_row"), "id").alias("uuid"), "_place")
     last = given.groupBy(key, "uuid").agg(F.max("_pos").alias("_pos"))
-    first = placed.join(last, [key, "uuid"])
-    ahead = given.join(first.select(key, "_pos", F.struct(F.lit(0).alias("after"), F.col("_place").alias("at")).alias("seq")), [key, "_pos"])
+    first = placed.join(_dealt(last), [key, "uuid"])
+    ahead = given.join(_dealt(first.select(key, "_pos", F.struct(F.lit(0).alias("after"), F.col("_place").alias("at")).alias("seq"))), [key, "_pos"])
     used = first.select(key, "uuid").distinct()
-    others = given.join(used, [key, "uuid"], "left_anti").withColumn("seq", F.struct(F.lit(1).alias("after"), F.col("_pos").alias("at")))
+    others = given.join(_dealt(used), [key, "uuid"], "left_anti").withColumn("seq", F.struct(F.lit(1).alias("after"), F.col("_pos").alias("at")))
     return ahead.unionByName(others).drop("_pos")
 
 
@@ -84,7 +90,7 @@ def value_text(data: Column, column: Column, created: Column, updated: Column) -
 
 def record_texts(found: DataFrame, key: str) -> DataFrame:
     """Records with ``cells``, the texts of their table's columns in turn, and ``kind``, ``columns`` and ``view``."""
-    rows = table_records(found, key).join(found.select(key, "kind", "columns", "view"), key)
+    rows = table_records(found, key).join(_dealt(found.select(key, "kind", "columns", "view")), key)
     return rows.withColumn("cells", F.transform("columns", lambda c: value_text(F.col("data"), c, F.col("created_at"), F.col("updated_at"))))
 
 
@@ -145,4 +151,4 @@ def table_texts(rows: DataFrame, key: str, content: Column, name: Column, export
     whole = F.concat(F.lit("\n"), title, F.lit("\n\n"), F.coalesce("body", F.lit("")), F.lit("\n\n"))
     absent = F.coalesce(F.concat(F.lit(f"\n> {TABLE}："), _given(F.col("_name").cast("string")), F.lit("\n")), F.lit(""))
     names = rows.select(key, name.alias("_name"))
-    return found.join(bodies, key, "left").join(names, key).select(key, F.when(F.size("columns") > 0, whole).otherwise(absent).alias("markdown"))
+    return found.join(_dealt(bodies), key, "left").join(_dealt(names), key).select(key, F.when(F.size("columns") > 0, whole).otherwise(absent).alias("markdown"))
