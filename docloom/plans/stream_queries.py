@@ -85,7 +85,8 @@ def stream_machine(spark, d):
     again = events.where("id % 7 = 0").withColumn("file", F.least(part + 1, F.lit(3)))
     files = events.withColumn("file", late).unionAll(again)
     for k in range(4):
-        files.where(F.col("file") == k).drop("file").write.mode("append").parquet(f"{folder}/events")
+        # as many files as a batch takes, so that batches are four and the last, however many partitions the input has
+        files.where(F.col("file") == k).drop("file").repartition(4).write.mode("append").parquet(f"{folder}/events")
     delay = max(1, (last - low).days // 2 + 1)  # spans two files, so that late rows are in time
     end = F.lit(last) + F.expr(f"interval {AFTER + delay} days")
     beat = spark.range(1).select(F.lit(-1).cast("long").alias("item"), end.alias("ts"), F.lit(-1).cast("long").alias("id"), F.lit("beat").alias("kind"))
