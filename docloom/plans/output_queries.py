@@ -70,11 +70,11 @@ def title_tree(spark, d):
 n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) - 1 AS k FROM p)
 SELECT CASE WHEN k = 0 THEN base WHEN base LIKE '%.md' THEN replace(base, '.md', ' (' || k || ').md') ELSE base || ' (' || k || ')' END AS path, CAST(strlen(content) AS BIGINT) AS n_bytes, sha256(content) AS sha256 FROM n""")
 def file_sink(spark, d):
-    """Each order a file; many share a name. What comes back is read from the files, not from the table."""
+    """Each order a file; many share a name. They are tiny, so they are packed. What comes back is read from the archives, not from the table."""
     key = F.col("o_orderkey")
     base = F.concat(F.lit("c"), (F.col("o_custkey") % 40).cast("string"), F.lit("/"), "o_orderpriority", F.when(key % 3 == 0, "").otherwise(".md"))
     rows = t(spark, d, "orders").select(key.alias("id"), base.alias("path"), F.concat("o_orderstatus", F.lit(" é "), key.cast("string")).alias("content"))
     folder = fresh_folder(spark, "files")
-    filetree.write_files(filetree.with_unique_paths(rows, "id"), folder)
+    filetree.write_files(filetree.with_unique_paths(rows, "id"), folder, packed=True)
     found = filetree.read_files(spark, folder)
     return found.select("path", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))

@@ -1,6 +1,7 @@
 """A sink of one file a row at the path that the row names, with a manifest; and the source that reads it back.
 
     filetree.write_files(rows, folder)       # columns path and content (string or binary)
+    filetree.write_files(rows, folder, packed=True)  # the same files in ZIP archives of many
     filetree.read_files(spark, folder)       # path, n_bytes, sha256 and content
 
 Tasks write each file beside its place and put it there in one step, so a file is whole or not there, and a task that runs again puts the
@@ -8,6 +9,9 @@ same files in the same places. What a task wrote it lists in a part of the manif
 the parts that count in one step and touches no file itself. A failed job leaves the manifest as it was. Readers see what the manifest
 lists and nothing else; a later write into the folder replaces the manifest, or adds to it in append mode.
 
+A file of its own takes a block of the disk and an entry of its folder, however small it is. For very many small files ``packed`` puts them, each
+under its path, into archives of up to ``PACK`` files or bytes; the manifest then lists archives, whose own directories name the files.
+
 Paths are relative, with ``/`` between segments; empty segments, ``.``, ``..`` and absolute paths are refused. A null content is an empty file. Paths must
 be unique: :func:`with_unique_paths` numbers what collides.
 """
@@ -15,8 +19,10 @@ be unique: :func:`with_unique_paths` numbers what collides.
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import uuid
+import zipfile
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -30,12 +36,14 @@ from docloom.operators import sequences
 
 #: The folder of the manifest and the file that names its parts.
 MANIFEST, CURRENT, PARTIAL = "_manifest", "current.json", "_partial"
+#: The folder of archives; the files and the bytes at which one is closed.
+PACKS, PACK = "_packs", (20_000, 8_000_000)
 
 
 def checked(path: str | None) -> str:
     """The path, if it stays below the folder and out of the manifest."""
     parts = (path or "").split("/")
-    if any(p in ("", ".", "..") or "\x00" in p or "\\" in p for p in parts) or parts[0] in (MANIFEST, PARTIAL):
+    if any(p in ("", ".", "..") or "\x00" in p or "\\" in p for p in parts) or parts[0] in (MANIFEST, PARTIAL, PACKS):
         raise ValueError(f"not a relative path of a file: {path!r}")
     return "/".join(parts)
 
@@ -50,6 +58,40 @@ def _put(fs: pafs.FileSystem, root: str, path: str, data: bytes) -> None:
     fs.move(draft, f"{root}/{path}")
 
 
+class Packs:
+    """Archives of many files, each put in its place when it is full; ``listed`` takes a line for each."""
+
+    def __init__(self, fs: pafs.FileSystem, root: str, listed):
+        self.fs, self.root, self.listed = fs, root, listed
+        self._start()
+
+    def _start(self) -> None:
+        self.raw, self.count = io.BytesIO(), 0
+        self.zip = zipfile.ZipFile(self.raw, "w")
+
+    def add(self, path: str, data: bytes) -> None:
+        self.zip.writestr(zipfile.ZipInfo(path), data)
+        self.count += 1
+        if self.count >= PACK[0] or self.raw.tell() >= PACK[1]:
+            self.close()
+
+    def close(self) -> None:
+        self.zip.close()
+        if self.count:
+            place = f"{PACKS}/{uuid.uuid4().hex}.zip"
+            _put(self.fs, self.root, place, self.raw.getvalue())
+            self.listed.write(json.dumps({"archive": place}).encode() + b"\n")
+        self._start()
+
+
+def _unpacked(raw: bytes, names: list[str]) -> Iterator[dict]:
+    """The files of an archive; contents are read only where they or their digests are asked for."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as found:
+        for info in found.infolist():
+            data = found.read(info) if {"content", "sha256"} & {*names} else b""
+            yield {"path": info.filename, "n_bytes": info.file_size, "content": data, "sha256": hashlib.sha256(data).hexdigest() if "sha256" in names else None}
+
+
 @dataclass
 class Wrote(WriterCommitMessage):
     part: str
@@ -59,6 +101,7 @@ class Wrote(WriterCommitMessage):
 class TreeWriter(DataSourceWriter):
     def __init__(self, options: dict, names: list[str], overwrite: bool):
         self.path, self.names, self.overwrite = options["path"], names, overwrite
+        self.packed = str(options.get("packed", "false")).lower() == "true"
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         fs, root = pafs.FileSystem.from_uri(self.path)
@@ -66,13 +109,19 @@ class TreeWriter(DataSourceWriter):
         fs.create_dir(f"{root}/{MANIFEST}", recursive=True)
         part, count = f"part-{uuid.uuid4().hex}.jsonl", 0
         with fs.open_output_stream(f"{root}/{MANIFEST}/{part}", compression=None) as listed:
+            packs = Packs(fs, root, listed) if self.packed else None
             for row in rows:
                 values = dict(zip(self.names, row))
                 path, content = checked(values["path"]), values["content"]
                 data = content.encode() if isinstance(content, str) else bytes(content or b"")
+                count += 1
+                if packs:
+                    packs.add(path, data)
+                    continue
                 _put(fs, root, path, data)
                 listed.write(json.dumps({"path": path, "n_bytes": len(data), "sha256": hashlib.sha256(data).hexdigest()}, ensure_ascii=False).encode() + b"\n")
-                count += 1
+            if packs:
+                packs.close()
         return Wrote(part, count)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -118,6 +167,11 @@ class TreeReader(DataSourceReader):
                 *lines, rest = (rest + block).split(b"\n")
                 for line in lines:
                     entry = json.loads(line)
+                    if "archive" in entry:
+                        with fs.open_input_stream(f"{root}/{entry['archive']}", compression=None) as f:
+                            raw = f.read()
+                        yield from (tuple(file[n] for n in self.names) for file in _unpacked(raw, self.names))
+                        continue
                     if "content" in self.names:
                         with fs.open_input_stream(f"{root}/{entry['path']}", compression=None) as f:
                             entry["content"] = f.read()
@@ -139,14 +193,14 @@ class FileTree(DataSource):
         return TreeWriter(self.options, schema.names, overwrite)
 
 
-def write_files(rows: DataFrame, folder: str, append: bool = False) -> None:
-    """Writes a file for each row (path, content); the folder's manifest lists these, in ``append`` mode also those before."""
+def write_files(rows: DataFrame, folder: str, append: bool = False, packed: bool = False) -> None:
+    """Writes a file for each row (path, content), ``packed`` into archives; the folder's manifest lists these, in ``append`` mode also those before."""
     rows.sparkSession.dataSource.register(FileTree)
-    rows.select("path", "content").write.format("filetree").mode("append" if append else "overwrite").save(folder)
+    rows.select("path", "content").write.format("filetree").option("packed", str(packed).lower()).mode("append" if append else "overwrite").save(folder)
 
 
 def read_files(spark: SparkSession, folder: str, content: bool = True) -> DataFrame:
-    """The files that the manifest lists; without ``content`` no file is opened."""
+    """The files that the manifest lists; without ``content`` no file of its own is opened."""
     spark.dataSource.register(FileTree)
     schema = "path string, n_bytes long, sha256 string" + ", content binary" * content
     return spark.read.format("filetree").schema(schema).load(folder)
