@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -83,26 +83,37 @@ class Merges:
         self.plane = 0x100 if most + 0x100 < 0xD800 else 0x10000
         self.rising = all(rank + 257 > max(k // self.base, k % self.base) for k, rank in self.pairs.items())
 
-    def literal(self) -> Column:
-        """All tables as one literal, to be parsed once for each block: folded into the plan beforehand, its
-        values would be copied into every task and hashed at every planning step."""
+    def tables(self) -> str:
+        """All tables as JSON, to be parsed once for each block."""
         buckets: list[tuple[list, list]] = [([], []) for _ in range(self.n_buckets)]
         for key, rank in self.pairs.items():
             keys, values = buckets[key % self.n_buckets]
             keys.append(key)
             values.append(rank - self.shift)
-        text = json.dumps({"pairs": buckets, "first": self.first, "text": self.text, "hex": self.hex}, separators=(",", ":"))
-        parsed = F.from_json(_in_row(text), "pairs array<array<array<bigint>>>, first array<bigint>, text array<string>, hex array<string>")
+        return json.dumps({"pairs": buckets, "first": self.first, "text": self.text, "hex": self.hex}, separators=(",", ":"))
+
+    def parsed(self) -> Column:
+        """The rank map and the other tables, from the column ``tables``."""
+        parsed = F.from_json("tables", "pairs array<array<array<bigint>>>, first array<bigint>, text array<string>, hex array<string>")
         return _bound(parsed, lambda t: F.struct(F.transform(t["pairs"], lambda b: F.map_from_arrays(b[0], b[1])).alias("pairs"), t["first"].alias("first"), t["text"].alias("text"), t["hex"].alias("hex")))
 
-    def ranked(self) -> Column:
-        """The merges in order of rank: the token's bytes, also as symbols, the pair that makes it and the token's own symbol."""
+    def ranking(self) -> str:
+        """The merges in order of rank as JSON: the token's bytes as symbols and in hexadecimal, the pair that makes it and the token's own symbol."""
         pairs = sorted((rank, key) for key, rank in self.pairs.items())
         spell = lambda key: "".join(chr(self.plane + b + 1) for b in bytes.fromhex(self.hex[key]))
         rows = [[spell(rank + 257), self.hex[rank + 257], chr(self.plane + key // self.base) + chr(self.plane + key % self.base), chr(self.plane + rank + 257)] for rank, key in pairs]
-        parsed = F.from_json(_in_row(json.dumps(rows, ensure_ascii=False, separators=(",", ":"))), "array<array<string>>")
+        return json.dumps(rows, ensure_ascii=False, separators=(",", ":"))
+
+    def ranked(self) -> Column:
+        """The merges in order of rank, from the column ``ranking``."""
+        parsed = F.from_json("ranking", "array<array<string>>")
         return F.transform(parsed, lambda m: F.struct(m[0].alias("letters"), F.unhex(m[1]).alias("token"), m[2].alias("pair"), m[3].alias("joined")))
 
+    def stored(self, spark: SparkSession) -> DataFrame:
+        """``tables`` and ``ranking`` in one row that is joined to blocks. As literals their megabytes would stand in every plan,
+        and the driver keeps the text of the plans of its last thousand queries."""
+        return stored(spark.createDataFrame([(self.tables(), self.ranking())], "tables string, ranking string"), "merges")
+
 
 def merged_bytes(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     """The pieces of ``token`` before the merge that would make it whole."""
@@ -117,10 +128,6 @@ def merged_bytes(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
-def _in_row(text: str) -> Column:
-    return F.when(F.size("words") >= 0, F.lit(text))
-
-
 def _bound(value: Column, f) -> Column:
     """``f`` of a value that is evaluated once, however often ``f`` names it."""
     return F.transform(F.array(value), f)[0]
@@ -136,18 +143,20 @@ def encode_word(word: Column, merges: Merges, pairs: Column, first: Column) -> C
     n = F.size(word) - 1
     edge, none = F.lit(merges.edge).cast("long"), F.lit(merges.NONE).cast("long")
 
-    def rank_or_self(key: Column) -> Column:
-        found = pairs[(key % merges.n_buckets).cast("int")][key]
-        return F.coalesce(found, F.when(key < merges.base, key).otherwise(none))
+    def rank_of(key: Column) -> Column:
+        return F.coalesce(pairs[(key % merges.n_buckets).cast("int")][key], none)
 
     def step(state: Column, _: Column) -> Column:
         def merge(at: Column) -> Column:
-            rank = state[at - 1]
-            joined = rank + (merges.shift + 257)
-            around = F.array(state[at - 4] * merges.base + joined, joined, joined * merges.base + state[at + 2])
-            return F.when(rank == merges.NONE, state).otherwise(F.flatten(F.array(F.slice(state, F.lit(1), at - 3), F.transform(around, rank_or_self), F.slice(state, at + 3, F.size(state)))))
+            joined = state[at - 1] + (merges.shift + 257)
+            return F.concat(
+                F.slice(state, F.lit(1), at - 3),
+                F.array(rank_of(state[at - 4] * merges.base + joined), joined, rank_of(joined * merges.base + state[at + 2])),
+                F.slice(state, at + 3, F.size(state)),
+            )
 
-        return _bound(F.array_position(state, F.array_min(state)).cast("int"), merge)
+        least = F.array_min(state)
+        return F.when(least == merges.NONE, state).otherwise(_bound(F.array_position(state, least).cast("int"), merge))
 
     inner = F.flatten(F.zip_with(F.slice(word, F.lit(1), n), F.slice(word, F.lit(2), n), lambda x, y: F.array(x, first[(x * 257 + y).cast("int")])))
     folded = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.concat(F.array(edge, none), inner, F.array(edge)), step)
@@ -344,7 +353,8 @@ def _per_doc(docs: DataFrame, merges: Merges, pattern: str, id_col: str, text_co
         lengthy = F.when(F.size("long") > 0, _bound(merges.ranked(), lambda ranked: F.transform("long", lambda w: encode_long_word(w, ranked, merges.plane)))).otherwise(F.array().cast("array<array<bigint>>"))
         return _bound(F.concat(short, lengthy), lambda numbers: F.struct(F.concat("known_text", written(numbers, tables["text"], " ")).alias("text"), F.concat("known_hex", written(numbers, tables["hex"], "")).alias("hex")))
 
-    words = _bound(merges.literal(), encoded)
+    words = _bound(merges.parsed(), encoded)
+    blocks = blocks.crossJoin(F.broadcast(merges.stored(docs.sparkSession)))
     return blocks.select(F.explode(_bound(words, rows_of)).alias("row")).select(F.col("row.id").alias(id_col), "row.result.*")
 
 
