@@ -36,3 +36,13 @@ def test_fingerprints_first_change_nothing(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     plain, first = ({r["doc_id"]: r["component_id"] for r in similar.groups(docs, radius=radius).collect()} for radius in (None, 4))
     assert plain == first == {**{k: 0 for k in range(30)}, 50: 0, 51: 0, 52: 52}
+
+
+def test_a_passage_of_many_texts_makes_no_pairs(spark, monkeypatch):
+    """All pairs of the texts that share it were made, stored and compared with those tried before."""
+    made, keep = [], similar.may_be_similar
+    monkeypatch.setattr(similar, "SAMPLE", 0)  # no order to push the passage out of the prefixes
+    monkeypatch.setattr(similar, "may_be_similar", lambda pairs, *rest: made.append(pairs.count()) or keep(pairs, *rest))
+    rows = list(enumerate(texts()))
+    got = {r["doc_id"]: r["component_id"] for r in similar.groups(spark.createDataFrame(rows, "doc_id long, text string"), least=0.6).collect()}
+    assert got == {k: k - k % 2 for k, _ in rows} and sum(made) < 200
