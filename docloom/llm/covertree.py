@@ -8,6 +8,11 @@ by both radii, all their pairs are links without being listed. What is left is v
 vectors in double precision. A block pair returns counts and a spanning forest of its links, so a
 group of thousands of near copies costs rows in proportion to its size.
 
+Blocks lie in packs of some megabytes, written once. Packs meet as a product of the stored files, each
+task reading those of two parts, so that no vector is copied for the blocks that it meets: a vector is
+shuffled once and written once, whatever the number of blocks. Ids find their point by two 64-bit hashes
+of the vector, which alone travel for that.
+
 Defined results: vectors that are null, empty or zero, or hold null or non-finite components, link
 with nothing (0 links, their own component); vectors link only with others of their length; a null
 id has a null component and no links.
@@ -22,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from .common import least_hashed, n_parts, stored
+from .common import least_hashed, stored
 from .components import components
 
 SLACK = 1e-6  # rounding of distances is far below it; what lies within is verified
@@ -41,9 +47,21 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def build(x: np.ndarray, top: float = 2.0) -> dict[str, np.ndarray]:
-    """Cover tree over unit vectors: ``order`` of points, and per node its points lo..hi in that
-    order, its centre (a point; also the centre of its first child), covering radius and children.
+def near(a: np.ndarray, b: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs of single-precision unit vectors whose product may be ``least`` or more, and the product
+    raised by what rounding may take from it; rows of ``a`` in turns, so that products stay in the cache."""
+    rounding = (a.shape[1] + 4) * 2.0**-24
+    step = max(1, (1 << 19) // max(1, len(b)))
+    for at in range(0, len(a), step):
+        dots = (a[at : at + step] @ b.T).ravel()
+        k = np.flatnonzero(dots >= np.float32(least - 2 * rounding))
+        if len(k):
+            yield k // len(b) + at, k % len(b), dots[k] + rounding
+
+
+def build(x: np.ndarray, f: np.ndarray, top: float = 2.0) -> dict[str, np.ndarray]:
+    """Cover tree over unit vectors (``f``: in single precision): ``order`` of points, and per node its points
+    lo..hi in that order, its centre (a point; also the centre of its first child), covering radius and children.
 
     The levels below the root start at the largest radius 2**-k of at most ``top``: wider nodes of
     vectors in many dimensions reach all others, so that splitting them one by one prunes nothing."""
@@ -61,17 +79,22 @@ def build(x: np.ndarray, top: float = 2.0) -> dict[str, np.ndarray]:
         r = 2.0
         while r >= radius[k] or r > top:
             r /= 2
-        child[k], at, left = len(lo), lo[k], np.arange(len(points))
-        own, groups = d, []
+        child[k], at = len(lo), lo[k]
         c = int(np.flatnonzero(points == centre[k])[0])
+        crowded = np.zeros(len(points), bool)  # points with others in their reach; the rest are nodes of their own
+        for i, j, _ in near(f[points], f[points], 1 - (r + SLACK) ** 2 / 2):
+            crowded[i[i != j]] = True
+        crowded[c] = True
+        left, own, groups = np.flatnonzero(crowded), d[crowded], []
         while len(left):
-            near = own <= r
-            near |= left == c
-            groups.append((points[c], points[left[near]]))
-            left = left[~near]
+            close = own <= r
+            close |= left == c
+            groups.append((points[c], points[left[close]]))
+            left = left[~close]
             if len(left):
                 c = int(left[0])
                 own = np.sqrt(np.maximum(0, 2 - 2 * (x[points[left]] @ x[points[c]])))
+        groups += [(q, [q]) for q in points[~crowded].tolist()]
         children[k] = len(groups)
         for c, members in groups:
             order[at : at + len(members)] = members
@@ -87,7 +110,7 @@ def build(x: np.ndarray, top: float = 2.0) -> dict[str, np.ndarray]:
     return {"order": order, "lo": np.array(lo), "hi": np.array(hi), "centre": np.array(centre), "radius": np.array(radius), "child": np.array(child), "children": np.array(children)}
 
 
-def dual(xa: np.ndarray, ta: dict, xb: np.ndarray, tb: dict, wa: np.ndarray, wb: np.ndarray, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def dual(xa: np.ndarray, fa: np.ndarray, ta: dict, xb: np.ndarray, fb: np.ndarray, tb: dict, wa: np.ndarray, wb: np.ndarray, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Links between two blocks (each pair once; within one block if ``same``): weighted link counts
     of the points of either, and links (i, j) that connect what is linked."""
     eps = float(np.sqrt(2 - 2 * cosine))
@@ -98,6 +121,10 @@ def dual(xa: np.ndarray, ta: dict, xb: np.ndarray, tb: dict, wa: np.ndarray, wb:
     def parts(t: dict, k: int) -> np.ndarray:
         return np.arange(t["child"][k], t["child"][k] + t["children"][k]) if t["children"][k] else np.array([k])
 
+    def alone(t: dict, nodes: np.ndarray) -> list[tuple[np.ndarray, bool]]:
+        one = t["hi"][nodes] - t["lo"][nodes] == 1
+        return [(part, single) for part, single in ((nodes[one], True), (nodes[~one], False)) if len(part)]
+
     def linked(i: np.ndarray, j: np.ndarray) -> None:
         links_i.append(i)
         links_j.append(j)
@@ -121,35 +148,37 @@ def dual(xa: np.ndarray, ta: dict, xb: np.ndarray, tb: dict, wa: np.ndarray, wb:
                 linked(np.full(len(pb) - 1, pa_[0]), pb[1:])
             continue
         if not ta["children"][a] and not tb["children"][b]:
-            near = xa[pa_] @ xb[pb].T >= cosine
+            close = xa[pa_] @ xb[pb].T >= cosine
             if own:
-                near = np.triu(near, 1)
-            i, j = np.nonzero(near)
+                close = np.triu(close, 1)
+            i, j = np.nonzero(close)
             if len(i):
                 i, j = pa_[i], pb[j]
                 np.add.at(na, i, wb[j])
                 np.add.at(nb, j, wa[i])
                 linked(i, j)
             continue
-        ca, cb = parts(ta, a), parts(tb, b)
-        ra, rb = ta["radius"][ca], tb["radius"][cb]
-        dots = xa[ta["centre"][ca]] @ xb[tb["centre"][cb]].T
-        widest = ra.max() + rb.max() + eps + SLACK
-        i, j = np.nonzero(dots >= 1 - min(widest, 2.0) ** 2 / 2 - SLACK)
-        keep = np.sqrt(np.maximum(0, 2 - 2 * dots[i, j])) <= ra[i] + rb[j] + eps + SLACK
-        i, j = i[keep], j[keep]
-        if own:
-            i, j = i[i <= j], j[i <= j]
-        single = (ta["hi"][ca[i]] - ta["lo"][ca[i]] == 1) & (tb["hi"][cb[j]] - tb["lo"][cb[j]] == 1)
-        one, two = ta["centre"][ca[i[single]]], tb["centre"][cb[j[single]]]
-        if own:
-            one, two = one[one != two], two[one != two]
-        sure = (xa[one] * xb[two]).sum(1) >= cosine
-        one, two = one[sure], two[sure]
-        np.add.at(na, one, wb[two])
-        np.add.at(nb, two, wa[one])
-        linked(one, two)
-        todo.extend(zip(ca[i[~single]].tolist(), cb[j[~single]].tolist()))
+        for ca, one_a in alone(ta, parts(ta, a)):
+            for cb, one_b in alone(tb, parts(tb, b)):
+                if own and one_b and not one_a:
+                    continue  # met the other way round
+                ra, rb = ta["radius"][ca], tb["radius"][cb]
+                widest = ra.max() + rb.max() + eps + SLACK
+                for i, j, dots in near(fa[ta["centre"][ca]], fb[tb["centre"][cb]], 1 - min(widest, 2.0) ** 2 / 2 - SLACK):
+                    if own and one_a == one_b:
+                        keep = i < j if one_a else i <= j
+                        i, j, dots = i[keep], j[keep], dots[keep]
+                    if one_a and one_b:
+                        for at in range(0, len(i), 1 << 15):
+                            one, two = ta["centre"][ca[i[at : at + (1 << 15)]]], tb["centre"][cb[j[at : at + (1 << 15)]]]
+                            sure = (xa[one] * xb[two]).sum(1) >= cosine
+                            one, two = one[sure], two[sure]
+                            np.add.at(na, one, wb[two])
+                            np.add.at(nb, two, wa[one])
+                            linked(one, two)
+                    else:
+                        keep = np.sqrt(np.maximum(0, 2 - 2 * dots)) <= ra[i] + rb[j] + eps + SLACK
+                        todo.extend(zip(ca[i[keep]].tolist(), cb[j[keep]].tolist()))
     none = [np.zeros(0, int)]
     return na, nb, np.concatenate(links_i or none), np.concatenate(links_j or none)
 
@@ -170,92 +199,138 @@ def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _block(rows: pa.Table, top: float) -> pa.Table:
-    """One row for a block: its points and its tree."""
-    rows = rows.sort_by("node")
-    x = np.array(rows.column("v").to_pylist(), float)
-    u = unit(x)
-    t = build(u, top)
-    data = {"ids": rows.column("node").to_numpy(), "w": rows.column("copies").to_numpy().astype(float), "u": u.ravel(), **t}
-    cells = {k: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for k, v in data.items()}
-    root = {"root": pa.array([u[t["centre"][0]].tolist()], pa.list_(pa.float64())), "reach": pa.array([float(t["radius"][0])])}
-    return pa.table({"block": rows.column("block")[:1], "dim": pa.array([x.shape[1]], pa.int32()), **root, **cells})
-
-
-_TREE = ("order", "lo", "hi", "centre", "radius", "child", "children")
-_CELLS = ("ids", "w", "u", *_TREE)
-_BLOCK = "block long, dim int, root array<double>, reach double, " + ", ".join(f"{k} binary" for k in _CELLS)
-
-
-def _pairs(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
-    def read(row: dict, side: str) -> tuple:
-        kinds = {"w": np.float64, "u": np.float64, "radius": np.float64}
-        d = {k: np.frombuffer(row[f"{side}{k}"], kinds.get(k, np.int64)) for k in _CELLS}
-        return d["ids"], d["w"], d["u"].reshape(len(d["ids"]), -1), {k: d[k] for k in _TREE}
+_TREE = {"order": np.int32, "lo": np.int32, "hi": np.int32, "centre": np.int32, "radius": np.float64, "child": np.int32, "children": np.int32}
+_CELLS = ("dims", "sizes", "nodes", "ids", "w", "v", *_TREE)
+_PACK = "pack long, " + ", ".join(f"{k} binary" for k in _CELLS)
+
+
+def _pack(rows: pa.Table, kind: type, top: float) -> pa.Table:
+    """One row for a pack: the distinct points of its blocks and their trees, one after the other. Rows of equal vectors
+    are one point of the least id."""
+    found: dict[str, list] = {k: [] for k in _CELLS}
+    blocks, copies, ids = (rows.column(c).to_numpy() for c in ("block", "copies", "node"))
+    for block in np.unique(blocks):
+        at = np.flatnonzero(blocks == block)
+        v, first, which = np.unique(np.array(rows.column("v").take(pa.array(at)).to_pylist(), object), return_index=True, return_inverse=True)
+        least = np.full(len(v), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, ids[at])
+        by_id = np.argsort(least, kind="stable")
+        x = np.frombuffer(b"".join(v[by_id]), kind).reshape(len(v), -1)
+        u = unit(x.astype(float))
+        tree = build(u, u.astype(np.float32), top)
+        cells = {"dims": np.array([x.shape[1]]), "sizes": np.array([len(x)]), "nodes": np.array([len(tree["lo"])]), "ids": least[by_id], "w": np.bincount(which, copies[at]).astype(np.int64)[by_id], "v": x, **tree}
+        for k, part in cells.items():
+            found[k].append(np.ascontiguousarray(part, _TREE.get(k)).tobytes())
+    return pa.table({"pack": rows.column("pack")[:1], **{k: pa.array([b"".join(parts)], pa.binary()) for k, parts in found.items()}})
+
+
+def _blocks(row: dict, kind: type) -> list[tuple]:
+    """Per block of a pack: its ids, weights, unit vectors in double and single precision and its tree."""
+    kinds = {"v": kind, **_TREE}
+    d = {k: np.frombuffer(row[k], kinds.get(k, np.int64)) for k in _CELLS}
+    out, point, node, value = [], 0, 0, 0
+    for dim, size, nodes in zip(d["dims"].tolist(), d["sizes"].tolist(), d["nodes"].tolist()):
+        x = unit(d["v"][value : value + size * dim].reshape(size, dim).astype(float))
+        tree = {k: d[k][point : point + size] if k == "order" else d[k][node : node + nodes] for k in _TREE}
+        out.append((d["ids"][point : point + size], d["w"][point : point + size].astype(float), x, x.astype(np.float32), tree))
+        point, node, value = point + size, node + nodes, value + size * dim
+    return out
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], cosine: float, kind: type) -> Iterator[pa.RecordBatch]:
+    """For each pair of packs: the points with links between them, their weighted number and a point they are connected to."""
+    last: dict[str, tuple[int, list]] = {}  # a product keeps one side for several rows
+
+    def read(batch: pa.RecordBatch, k: int, side: str) -> list:
+        pack = batch.column(f"{side}_pack")[k].as_py()
+        if side not in last or last[side][0] != pack:
+            last.pop(side, None)
+            last[side] = pack, _blocks({c: batch.column(f"{side}_{c}")[k].as_py() for c in _CELLS}, kind)
+        return last[side][1]
 
     for batch in batches:
         for k in range(batch.num_rows):
-            row = {name: batch.column(c)[k].as_py() for c, name in enumerate(batch.schema.names)}
-            ids_a, wa, xa, ta = read(row, "a_")
-            same = row["a_block"] == row["b_block"]
-            ids_b, wb, xb, tb = (ids_a, wa, xa, ta) if same else read(row, "b_")
-            na, nb, i, j = dual(xa, ta, xb, tb, wa, wb, cosine, same)
-            if same:
-                ids, n, label = ids_a, na + nb, least_labels(len(xa), i, j)
-            else:
-                ids, n, label = np.r_[ids_a, ids_b], np.r_[na, nb], least_labels(len(xa) + len(xb), i, j + len(xa))
+            same = batch.column("a_pack")[k].as_py() == batch.column("b_pack")[k].as_py()
+            one = read(batch, k, "a")
+            two = one if same else read(batch, k, "b")
+            ids = np.concatenate([block[0] for block in (one if same else [*one, *two])])
+            from_a = np.cumsum([0, *(len(block[0]) for block in one)])
+            from_b = from_a if same else from_a[-1] + np.cumsum([0, *(len(block[0]) for block in two)])
+            n, ends_i, ends_j = np.zeros(len(ids)), [np.zeros(0, int)], [np.zeros(0, int)]
+            for p, (_, wa, xa, fa, ta) in enumerate(one):
+                for q, (_, wb, xb, fb, tb) in enumerate(two):
+                    if xa.shape[1] != xb.shape[1] or same and q < p:
+                        continue
+                    itself = same and p == q
+                    na, nb, i, j = dual(xa, fa, ta, xb, fb, tb, wa, wb, cosine, itself)
+                    if len(i):
+                        n[from_a[p] : from_a[p + 1]] += na
+                        n[from_b[q] : from_b[q + 1]] += nb
+                        at = np.arange(len(xa)) + from_a[p] if itself else np.r_[np.arange(len(xa)) + from_a[p], np.arange(len(xb)) + from_b[q]]
+                        label = least_labels(len(at), i, j if itself else j + len(xa))
+                        moved = np.flatnonzero(label != np.arange(len(at)))
+                        ends_i.append(at[moved])
+                        ends_j.append(at[label[moved]])
             touched = np.flatnonzero(n > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[touched]), pa.array(n[touched].astype(np.int64)), pa.array(ids[label[touched]])], ["node", "n", "root"])
+            if len(touched):
+                label = least_labels(len(ids), np.concatenate(ends_i), np.concatenate(ends_j))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[touched]), pa.array(n[touched].astype(np.int64)), pa.array(ids[label[touched]])], ["node", "n", "root"])
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 2048, sample: int = 4096) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 2048, sample: int = 4096, pack_mb: float = 12) -> DataFrame:
     """Per vector: its id, ``n_links`` (other vectors at ``cosine`` or more) and ``component_id``
-    (smallest id reachable). ``sample``: vectors among which the pivots are chosen."""
+    (smallest id reachable). ``sample``: vectors among which the pivots are chosen; ``pack_mb``: vectors
+    that are read as one row, by their size."""
     spark, eps = vectors.sparkSession, float(np.sqrt(2 - 2 * cosine))
-    rows = vectors.select(F.col(id_col).alias("_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    good = rows.where(usable(F.col("v")) & F.col("_id").isNotNull())
-    points = stored(good.groupBy("v").agg(F.min("_id").cast("long").alias("node"), F.count("*").alias("copies")), "points")
-    n = points.count()
-    pivots: dict[int, list[np.ndarray]] = {}
-    for r in least_hashed(points, "node", sample, n).collect():
-        pivots.setdefault(len(r["v"]), []).append(np.array(r["v"]))
+    single = vectors.schema[vector_col].dataType == ArrayType(FloatType())
+    kind = np.float32 if single else np.float64
+    rows = vectors.select(F.col(id_col).alias("_id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v"))
+    good = usable(F.col("v")) & F.col("_id").isNotNull()
+    keys = stored(rows.select("_id", F.when(good, F.xxhash64("v")).alias("h"), F.when(good, F.xxhash64(F.lit(1), "v")).alias("g")), "keys")
+    n = keys.where("h is not null").count()
+    pivots: dict[int, dict] = {}
+    for r in least_hashed(rows.where(good), "_id", sample, n).collect():
+        pivots.setdefault(len(r["v"]), {})[tuple(r["v"])] = None
     wanted = max(1, min(256, n // (2 * block_rows)))
-    chosen = {d: unit(np.array(v))[: max(1, wanted * len(v) // max(1, sum(map(len, pivots.values()))))] for d, v in pivots.items()}
+    chosen = {d: unit(np.array(list(v)))[: max(1, wanted * len(v) // max(1, sum(map(len, pivots.values()))))] for d, v in pivots.items()}
     shared = spark.sparkContext.broadcast(chosen)
 
     def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct vectors of a batch as bytes, their number, least id and cell."""
         for batch in batches:
-            cells = np.zeros(batch.num_rows, np.int64)
-            lists = batch.column(0)
+            lists, ids = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
             sizes = np.array(lists.value_lengths())
             for d in np.unique(sizes):
                 at = np.flatnonzero(sizes == d)
-                u = unit(np.array(lists.take(pa.array(at)).to_pylist(), float))
-                near = np.argmax(u @ shared.value[d].T, 1) if d in shared.value else 0
-                cells[at] = near + int(d) * 1024
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(cells)], ["v", "node", "copies", "cell"])
-
-    cells = stored(points.select("v", "node", "copies").mapInArrow(celled, "v array<double>, node long, copies long, cell long"), "cells")
-    salts = F.broadcast(cells.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("salts")))  # 256 cells a length at most
-    salted = cells.join(salts, "cell").withColumn("block", F.col("cell") * F.lit(1 << 32) + F.pmod(F.xxhash64("node"), F.col("salts")))
-    blocks = stored(salted.select("block", "node", "copies", "v").groupBy("block").applyInArrow(lambda rows: _block(rows, eps / 2), _BLOCK), "blocks")
-    ends = blocks.select("block", "dim", "root", "reach")
-    a, b = ends.select(*(F.col(c).alias(f"a_{c}") for c in ends.columns)), ends.select(*(F.col(c).alias(f"b_{c}") for c in ends.columns))
-    dot = F.aggregate(F.zip_with("a_root", "b_root", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    gap = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot))
-    deal = n_parts(spark)  # a block meets the later ones of its length in as many tasks as there are
-    a = a.withColumn("a_deal", F.pmod(F.xxhash64("a_block"), F.lit(deal)))
-    b = b.withColumn("b_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deal - 1).cast("long"))))
-    close = a.join(b, (F.col("a_deal") == F.col("b_deal")) & (F.col("a_dim") == F.col("b_dim")) & (F.col("a_block") <= F.col("b_block"))).where(gap <= F.col("a_reach") + F.col("b_reach") + eps + SLACK)
-    close = close.select("a_block", "b_block").repartition(n_parts(spark) * 4, "a_block", "b_block")
-    for side in ("a", "b"):
-        close = close.join(blocks.select(*(F.col(c).alias(f"{side}_{c}") for c in ("block", *_CELLS))), f"{side}_block")
-    found = stored(close.mapInArrow(lambda batches: _pairs(batches, cosine), "node long, n long, root long"), "links")
+                x = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(at), int(d)) + kind(0)
+                _, first, which = np.unique(x.view(f"V{x.itemsize * int(d)}").ravel(), return_index=True, return_inverse=True)
+                least = np.full(len(first), np.iinfo(np.int64).max)
+                np.minimum.at(least, which, ids[at])
+                x = x[first]
+                cell = np.argmax(unit(x.astype(float)) @ shared.value[d].T, 1) if d in shared.value else np.zeros(len(x), int)
+                cells = [pa.array([v.tobytes() for v in x], pa.binary()), pa.array(least), pa.array(np.bincount(which)), pa.array(cell + int(d) * 1024)]
+                yield pa.RecordBatch.from_arrays(cells, ["v", "node", "copies", "cell"])
+
+    points = rows.where(good).select("v", F.col("_id").cast("long").alias("node")).mapInArrow(celled, "v binary, node long, copies long, cell long")
+    blocks, salts, dims = 0, [], [1]
+    for cell, count in sorted(map(tuple, points.groupBy("cell").count().collect())):  # 256 cells a length at most
+        salts.append((cell, blocks, -(-count // block_rows)))
+        blocks += salts[-1][2]
+        dims.append(cell // 1024)
+    together = max(1, min(int(pack_mb * 1e6) // (block_rows * max(dims) * np.dtype(kind).itemsize), -(-blocks // 12)))
+    salted = points.join(F.broadcast(spark.createDataFrame(salts, "cell long, first long, salts long")), "cell")
+    salted = salted.withColumn("block", F.col("first") + F.pmod(F.xxhash64("v"), F.col("salts")))
+    packed = salted.select(F.floor(F.col("block") / together).alias("pack"), "block", "node", "copies", "v").repartition(max(1, -(-blocks // together)), "pack")
+    packs = stored(packed.groupBy("pack").applyInArrow(lambda rows: _pack(rows, kind, eps / 2), _PACK), "packs", "zstd")
+    a, b = (packs.select(*(F.col(c).alias(f"{side}_{c}") for c in packs.columns)) for side in "ab")
+    once = (F.col("a_pack") < F.col("b_pack")) == ((F.col("a_pack") + F.col("b_pack")) % 2 == 0)  # either (a, b) or (b, a): the parts of a product share the work
+    met = a.hint("shuffle_replicate_nl").join(b, (F.col("a_pack") == F.col("b_pack")) | once)
+    found = stored(met.mapInArrow(lambda batches: _pairs(batches, cosine, kind), "node long, n long, root long"), "links")
     linked = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
-    named = points.join(counts, "node", "left").join(linked, "node", "left")
-    named = named.select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    key = F.when(usable(F.col("v")) & F.col("_id").isNotNull(), F.col("v"))
-    out = rows.select("_id", key.alias("v")).where("v is not null").join(named, "v").select("_id", "n_links", "component_id")
-    rest = rows.where(key.isNull()).select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").cast("long").alias("component_id"))
+    same = keys.where("h is not null").groupBy("h", "g").agg(F.min("_id").cast("long").alias("node"), F.count("*").alias("copies"))
+    named = same.join(counts, "node", "left").join(linked, "node", "left")
+    named = named.select("h", "g", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    out = keys.where("h is not null").join(named, ["h", "g"]).select("_id", "n_links", "component_id")
+    rest = keys.where("h is null").select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").cast("long").alias("component_id"))
     return out.unionAll(rest).withColumnRenamed("_id", id_col)
